@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import charts, checks, clean, derive, kpi, profile, roles
 from ..sources.io import read_table, write_json, write_table
@@ -62,7 +61,7 @@ def save(result: JobResult, folder: str) -> None:
     write_json(result.summary, f"{folder}/summary")
 
 
-_MANIFEST = T.StructType.fromDDL("table string, status string, error string, rows_in bigint, rows_out bigint")
+_MANIFEST = "table string, status string, error string, rows_in bigint, rows_out bigint"
 
 
 def batch(spark: SparkSession, paths: list[str], out: str, schema_plan: dict | None = None, kpi_plan: dict | None = None) -> DataFrame:
