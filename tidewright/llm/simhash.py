@@ -214,20 +214,127 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, do
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 5, max_distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+# --- similarity of 0.8 and more -----------------------------------------------------------------
+#
+# At a Jaccard similarity of 0.8 two 64-bit fingerprints differ by 10 bits or so, where pigeonhole
+# thresholds would let candidates grow with the square of the input. So longer fingerprints are used:
+# CHECK_WORDS * 64 bits over five-word shingles verify (the share of differing bits estimates the
+# angle between two texts), and PARTS keys of PART_BITS bits over word pairs, which differ in fewer
+# bits, bring candidates together. Links within two bits of the first 64 come from the search above.
+
+CHECK_WORDS = 8
+PARTS, PART_BITS = 48, 24
+#: Members of a bucket above PAIR_LIMIT are compared with so many leaders, others for every partition.
+LEADERS = 4
+
+
+def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """`words` independent 64-bit numbers for each hash (splitmix64 steps), as bits: rows of 64 * words."""
+    z = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return np.unpackbits(z.view(np.uint8).reshape(len(hashes), 8 * words), axis=1, bitorder="little")
+
+
+def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    votes = np.zeros(64 * words, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 12):
+        votes += _spread(hashes[i : i + (1 << 12)], words).sum(axis=0, dtype=np.int32)
+    return votes * 2 > len(hashes)
+
+
+def long_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(CHECK_WORDS 64-bit numbers over the text's different shingles, PARTS keys over its different word pairs)."""
+    words = _WORD.findall(text.translate(_LOWER)) if text else []
+    if not words:
+        return np.zeros(CHECK_WORDS, np.int64), np.zeros(PARTS, np.int64)
+
+    def hashed(n: int) -> np.ndarray:
+        grams = set(map(" ".join, zip(*(words[i:] for i in range(n))))) or {" ".join(words)}
+        return np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=np.uint64)
+
+    check = np.packbits(_majority(hashed(shingle), CHECK_WORDS), bitorder="little").view("<i8")
+    bits = _majority(hashed(2), PARTS * PART_BITS // 64).reshape(PARTS, PART_BITS)
+    return check, bits @ (np.int64(1) << np.arange(PART_BITS, dtype=np.int64))
+
+
+def _with_long_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, check: array of CHECK_WORDS, keys: array of PARTS) of docs (doc_id, text)."""
+    short_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            both = [long_fingerprint(t, shingle) for t in batch.to_pylist()]
+            sides = []
+            for k, width in ((0, CHECK_WORDS), (1, PARTS)):
+                flat = np.concatenate([x[k] for x in both]) if both else np.zeros(0, np.int64)
+                sides.append(pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1, dtype=np.int32) * width), pa.array(flat, pa.int64())))
+            yield pa.StructArray.from_arrays(sides, ["check", "keys"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.select("doc_id", F.arrow_udf(run, "struct<check: array<bigint>, keys: array<bigint>>")("text").alias("f")).select("doc_id", "f.check", "f.keys")
+
+
+def allowed_bits(similarity: float) -> int:
+    """Differing bits of the check at a Jaccard similarity, for texts of equal length: bits * angle / pi, and one standard deviation."""
+    n, share = CHECK_WORDS * 64, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n * share + np.sqrt(n * share * (1 - share)))
+
+
+def _candidates(prints: DataFrame, pair_limit: int) -> DataFrame:
+    """(a, b), a < b: ids that share a key of some partition; of large buckets, members with leaders."""
+    filed = prints.select("id", F.posexplode("keys").alias("part", "key"))
+    buckets = written(filed.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "buckets")
+    more = written(filed.join(buckets.where("n > 2").select("part", "key", "n"), ["part", "key"]), "bucket-rows")
+    small = more.where(F.col("n") <= pair_limit).select("part", "key", "id")
+    pairs = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), ["part", "key"]).where("a < b").select("a", "b")
+    large = more.where(F.col("n") > pair_limit)
+    order = [F.min(F.struct(F.xxhash64("id", "part", F.lit(i)).alias("h"), "id"))["id"] for i in range(LEADERS)]
+    leaders = written(large.groupBy("part", "key").agg(F.array_distinct(F.array(*order)).alias("leaders")), "leaders")
+    led = large.join(leaders, ["part", "key"]).select("id", F.explode("leaders").alias("leader")).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    return buckets.where("n = 2").select("a", "b").union(pairs).union(led).distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """(doc_id, n, component_id) of every different non-null id: n rows bear it; component_id is the smallest id of its group.
+
+    Texts link if the check estimates their similarity at `similarity` or more. Equal checks link
+    without a comparison; rows of one id are one document.
+    """
+    slim = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
+    marked = written(_with_long_fingerprints(slim, shingle).where("doc_id is not null"), "long-fingerprints")
+    prints = written(marked.groupBy("check").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")), "long-prints")
+    checks = prints.select("id", "check")
+    first = F.col("check")[0]
+    exact = links(checks.select(first.alias("fp")).distinct(), 2)
+    heads = checks.groupBy(first.alias("fp")).agg(F.min("id").alias("head"))
+    by_head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
+    near = exact.join(by_head("src"), "src").join(by_head("dst"), "dst").select(F.least("src_head", "dst_head").alias("a"), F.greatest("src_head", "dst_head").alias("b"))
+    same_head = checks.join(heads, first == F.col("fp")).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    wanted = written(_candidates(prints, pair_limit).union(near).union(same_head).distinct(), "candidates")
+    side = lambda end: checks.select(F.col("id").alias(end), F.col("check").alias(f"{end}_check"))
+    bits = sum((F.bit_count(F.col("a_check")[i].bitwiseXOR(F.col("b_check")[i])) for i in range(CHECK_WORDS)), F.lit(0))
+    linked = wanted.join(side("a"), "a").join(side("b"), "b").where(bits <= allowed_bits(similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # an id whose rows have several texts links their checks
+    own = marked.join(checks.withColumnRenamed("id", "head"), "check").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).where("src <> dst")
+    groups = connected_components(linked.union(own))
+    counts = marked.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return counts.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose group holds a smaller document id; columns and texts as they are.
 
-    Rows of a null id stay. Of rows with the same id one stays, if that id is the first of a group.
+    Rows of a null id stay. Of several rows with an id that stays, one stays.
     """
-    found = written(near_duplicates(docs, shingle, max_distance, doc_id, text), "found")
-    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
+    found = similar_groups(docs, similarity, shingle, doc_id, text)
     key = free_name(docs, "id")
-    ids = written(by_id.where("not first or n > 1").select(F.col("doc_id").alias(key), "first"), "ids")
-    kept = docs.join(ids.where("not first").select(key), docs[f"`{doc_id}`"] == F.col(key), "left_anti")
+    ids = written(found.select(F.col("doc_id").alias(key), (F.col("doc_id") == F.col("component_id")).alias("first"), "n").where("not first or n > 1"), "ids")
+    kept = docs.join(ids.where("not first").select(key), col(doc_id) == F.col(key), "left_anti")
     if ids.where("first").isEmpty():
         return kept
-    nulls = kept.where(col(doc_id).isNull())
-    return kept.where(col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(nulls)
+    return kept.where(col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(col(doc_id).isNull()))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
