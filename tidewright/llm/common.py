@@ -30,12 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def expire(spark: SparkSession, path: str) -> None:
+    """What was written at path goes when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -43,9 +45,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
     Its size is known to the optimizer, so later joins broadcast it only if it is small.
     """
-    path = scratch_path(df.sparkSession, what)
+    spark = df.sparkSession
+    path = scratch_path(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    expire(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

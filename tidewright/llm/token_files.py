@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import opened, vocabulary_text
-from .common import col, scratch_path, short_batches, table
+from .common import col, expire, scratch_path, short_batches, table
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
@@ -163,6 +163,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     write_files(table(spark, sf_dir, "documents"), path)
+    expire(spark, path)
     return read_files(spark, path)
 
 
