@@ -83,3 +83,37 @@ def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (None, 1), (7, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)}
+
+
+def shingles(text, n=5):
+    w = simhash._WORD.findall(text.translate(simhash._LOWER))
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or {" ".join(w)}
+
+
+@pytest.mark.parametrize("pair_limit", [2, 32])
+def test_similar_texts_are_grouped(spark, pair_limit):
+    """Edited copies of a few texts: pairs of similarity 0.85 and more share a group, others below 0.6 do not."""
+    rng = np.random.default_rng(pair_limit)
+    pool = [f"w{i}" for i in range(3000)]
+    rows = []
+    for base in range(6):
+        words = list(rng.choice(pool, 400))
+        for copy in range(25):
+            own = list(words)
+            for at in rng.choice(400, copy // 4, replace=False):
+                own[at] = "changed%d" % rng.integers(1000)
+            rows.append((base * 1000 + copy, " ".join(own)))
+    rows += [(9000 + i, " ".join(rng.choice(pool, 200))) for i in range(60)] + [(9999, None)]
+    out = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), pair_limit=pair_limit)
+    group = {r.doc_id: r.component_id for r in out.collect()}
+    sets = {i: shingles(t) for i, t in rows if t}
+    close = far = lost = 0
+    for a in sets:
+        for b in sets:
+            if a < b:
+                j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                close += j >= 0.85
+                lost += j >= 0.85 and group[a] != group[b]
+                far += j < 0.3 and group[a] == group[b]
+    assert close > 500 and lost <= 0.01 * close and far == 0
+    assert group[9999] == 9999 and len(group) == len(rows)
