@@ -30,7 +30,7 @@ from .common import col, short_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker's memo holds before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 # The pattern of the public byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,13 +177,36 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
     return docs.withColumn(text, F.arrow_udf(run, "string")(col(ids)))
 
 
+def round_trip(docs: DataFrame, name: str, text: str = "text", path: str | None = None) -> DataFrame:
+    """docs with the struct column `name`: ids, and decoded, the text that those ids spell. One worker a task does both."""
+    if name in docs.columns:
+        raise ValueError(f"the column {name} exists")
+    spark = docs.sparkSession
+    short_batches(spark)
+    sent = spark.sparkContext.broadcast(vocabulary_text(path))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = opened(sent.value)
+        for batch in batches:
+            rows, spelled = [], []
+            for t in batch.to_pylist():
+                ids = bpe.encode(t)
+                spelled.append(bpe.decode(ids))
+                rows.append(np.array(ids, dtype=np.int32))
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+            yield pa.StructArray.from_arrays([ids, pa.array(spelled, pa.string())], ["ids", "decoded"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn(name, F.arrow_udf(run, "struct<ids: array<int>, decoded: string>")(col(text)))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs.select("doc_id", "text")))
-    return both.select(
+    return round_trip(docs.select("doc_id", "text"), "b").select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size("b.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("b.ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("b.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
