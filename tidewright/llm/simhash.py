@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, do
 
 CHECK_WORDS = 8
 PARTS, PART_BITS = 48, 24
-#: Members of a bucket above PAIR_LIMIT are compared with so many leaders, others for every partition.
-LEADERS = 4
+#: A bucket up to this size is paired; members of a larger one are compared with its leader, another for every partition.
+LED_FROM = 8
 
 
 def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -283,20 +283,19 @@ def allowed_bits(similarity: float) -> int:
 
 
 def _candidates(prints: DataFrame, pair_limit: int) -> DataFrame:
-    """(a, b), a < b: ids that share a key of some partition; of large buckets, members with leaders."""
+    """(a, b), a < b: ids that share a key of some partition; of large buckets, members with their leader."""
     filed = prints.select("id", F.posexplode("keys").alias("part", "key"))
     buckets = written(filed.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "buckets")
     more = written(filed.join(buckets.where("n > 2").select("part", "key", "n"), ["part", "key"]), "bucket-rows")
     small = more.where(F.col("n") <= pair_limit).select("part", "key", "id")
     pairs = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), ["part", "key"]).where("a < b").select("a", "b")
     large = more.where(F.col("n") > pair_limit)
-    order = [F.min(F.struct(F.xxhash64("id", "part", F.lit(i)).alias("h"), "id"))["id"] for i in range(LEADERS)]
-    leaders = written(large.groupBy("part", "key").agg(F.array_distinct(F.array(*order)).alias("leaders")), "leaders")
-    led = large.join(leaders, ["part", "key"]).select("id", F.explode("leaders").alias("leader")).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    leaders = written(large.groupBy("part", "key").agg(F.min(F.struct(F.xxhash64("id", "part").alias("h"), "id"))["id"].alias("leader")), "leaders")
+    led = large.join(leaders, ["part", "key"]).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     return buckets.where("n = 2").select("a", "b").union(pairs).union(led).distinct()
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", pair_limit: int = LED_FROM) -> DataFrame:
     """(doc_id, n, component_id) of every different non-null id: n rows bear it; component_id is the smallest id of its group.
 
     Texts link if the check estimates their similarity at `similarity` or more. Equal checks link
