@@ -216,8 +216,11 @@ def fit(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES) -> Linea
             kept = [(block_features(b).tobytes(), bytes(y)) for b, y in found if b and y is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.binary()), pa.array([y for _, y in kept], pa.binary())], names=["x", "y"])
 
-    key = F.xxhash64("html")
-    sample = pages.select(col(html).cast("string").alias("html")).where("html is not null and html <> ''").orderBy(key, "html").limit(limit).mapInArrow(run, "x binary, y binary").collect()
+    # the least hashes of different pages are found first, so that only chosen pages move
+    hashed = pages.select(col(html).cast("string").alias("html")).where("html is not null and html <> ''").withColumn("h", F.xxhash64("html"))
+    last = hashed.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).orderBy("h").select("html")
+    sample = chosen.mapInArrow(run, "x binary, y binary").collect()
     known = [_sequence(p) for p in _labelled()]
     width = known[0][0].shape[1]
     known += [(np.frombuffer(x, np.float32).reshape(-1, width), np.frombuffer(y, np.uint8).astype(int)) for x, y in sample]
