@@ -217,106 +217,157 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, do
 # --- similarity of 0.8 and more -----------------------------------------------------------------
 #
 # At a Jaccard similarity of 0.8 two 64-bit fingerprints differ by 10 bits or so, where pigeonhole
-# thresholds would let candidates grow with the square of the input. So longer fingerprints are used:
-# CHECK_WORDS * 64 bits over five-word shingles verify (the share of differing bits estimates the
-# angle between two texts), and PARTS keys of PART_BITS bits over word pairs, which differ in fewer
-# bits, bring candidates together. Links within two bits of the first 64 come from the search above.
-
-CHECK_WORDS = 8
-PARTS, PART_BITS = 48, 24
-#: A bucket up to this size is paired; members of a larger one are compared with its leader, another for every partition.
+# thresholds would let candidates grow with the square of the input. So this search is exact on the
+# sets of shingle hashes: in any one order of all shingles, two sets of similarity s or more share one
+# of the first n - ceil(s * n) + 1 of the n shingles of either (the prefix). Shingles that are common
+# in a sample come last in the order, so that a passage in many texts is in few prefixes; the order
+# decides on cost only. Every pair is verified on the whole sets.
+
+#: A bucket up to this size is paired; of a larger one, members are first compared with leaders.
 LED_FROM = 8
+#: Rounds of leaders before all pairs that are left between different groups are compared.
+LEADER_ROUNDS = 3
+# Texts in the sample for the order, and common shingles that are told from the rest.
+ORDER_TEXTS, ORDER_SHINGLES = 4_000, 100_000
+_SLACK = 1e-6
 
 
-def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
-    """`words` independent 64-bit numbers for each hash (splitmix64 steps), as bits: rows of 64 * words."""
-    z = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(31)
-    return np.unpackbits(z.view(np.uint8).reshape(len(hashes), 8 * words), axis=1, bitorder="little")
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of the text's different shingles in ascending order; a text without words has one, that of nothing."""
+    words = _WORD.findall(text.translate(_LOWER)) if text else []
+    grams = set(map(" ".join, zip(*(words[i:] for i in range(shingle))))) or {" ".join(words)}
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=np.uint64))
 
 
-def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
-    votes = np.zeros(64 * words, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 12):
-        votes += _spread(hashes[i : i + (1 << 12)], words).sum(axis=0, dtype=np.int32)
-    return votes * 2 > len(hashes)
+def prefix_length(n: int, similarity: float) -> int:
+    return min(n, n - int(np.ceil(similarity * n - _SLACK)) + 1)
 
 
-def long_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(CHECK_WORDS 64-bit numbers over the text's different shingles, PARTS keys over its different word pairs)."""
-    words = _WORD.findall(text.translate(_LOWER)) if text else []
-    if not words:
-        return np.zeros(CHECK_WORDS, np.int64), np.zeros(PARTS, np.int64)
+def set_prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of (count among the `common` ones, hash)."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: prefix_length(len(hashes), similarity)]]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64), pa.int64()))
 
-    def hashed(n: int) -> np.ndarray:
-        grams = set(map(" ".join, zip(*(words[i:] for i in range(n))))) or {" ".join(words)}
-        return np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=np.uint64)
 
-    check = np.packbits(_majority(hashed(shingle), CHECK_WORDS), bitorder="little").view("<i8")
-    bits = _majority(hashed(2), PARTS * PART_BITS // 64).reshape(PARTS, PART_BITS)
-    return check, bits @ (np.int64(1) << np.arange(PART_BITS, dtype=np.int64))
+def _set_key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 7) - (1 << 63)
 
 
-def _with_long_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, check: array of CHECK_WORDS, keys: array of PARTS) of docs (doc_id, text)."""
+def _hashed(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, p, set) of docs (doc_id, text): p stands for the set of shingles."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            both = [long_fingerprint(t, shingle) for t in batch.to_pylist()]
-            sides = []
-            for k, width in ((0, CHECK_WORDS), (1, PARTS)):
-                flat = np.concatenate([x[k] for x in both]) if both else np.zeros(0, np.int64)
-                sides.append(pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1, dtype=np.int32) * width), pa.array(flat, pa.int64())))
-            yield pa.StructArray.from_arrays(sides, ["check", "keys"])
+            sets = [shingle_hashes(t, shingle) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([_set_key(x) for x in sets], pa.int64()), _lists(sets)], ["p", "set"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.select("doc_id", F.arrow_udf(run, "struct<check: array<bigint>, keys: array<bigint>>")("text").alias("f")).select("doc_id", "f.check", "f.keys")
+    return docs.select("doc_id", F.arrow_udf(run, "struct<p: bigint, set: array<bigint>>")("text").alias("f")).select("doc_id", "f.p", "f.set")
 
 
-def allowed_bits(similarity: float) -> int:
-    """Differing bits of the check at a Jaccard similarity, for texts of equal length: bits * angle / pi, and one standard deviation."""
-    n, share = CHECK_WORDS * 64, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(n * share + np.sqrt(n * share * (1 - share)))
+def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that several texts of a sample of docs hold: a bounded number of rows."""
+    every = max(1, docs.count() // ORDER_TEXTS)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    counts = _hashed(sample, shingle).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect()
+    hashes = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    at = np.argsort(hashes)
+    return hashes[at], np.array([r.n for r in rows], np.int64)[at]
 
 
-def _candidates(prints: DataFrame, pair_limit: int) -> DataFrame:
-    """(a, b), a < b: ids that share a key of some partition; of large buckets, members with their leader."""
-    filed = prints.select("id", F.posexplode("keys").alias("part", "key"))
-    buckets = written(filed.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "buckets")
-    more = written(filed.join(buckets.where("n > 2").select("part", "key", "n"), ["part", "key"]), "bucket-rows")
-    small = more.where(F.col("n") <= pair_limit).select("part", "key", "id")
-    pairs = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), ["part", "key"]).where("a < b").select("a", "b")
-    large = more.where(F.col("n") > pair_limit)
-    leaders = written(large.groupBy("part", "key").agg(F.min(F.struct(F.xxhash64("id", "part").alias("h"), "id"))["id"].alias("leader")), "leaders")
-    led = large.join(leaders, ["part", "key"]).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    return buckets.where("n = 2").select("a", "b").union(pairs).union(led).distinct()
+def _with_prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, p, n: size of the set, prefix) of docs (doc_id, text)."""
+    common, counts = _common_shingles(docs, shingle)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [shingle_hashes(t, shingle) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays(
+                [pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _lists([set_prefix(x, similarity, common, counts) for x in sets])], ["p", "n", "prefix"]
+            )
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.select("doc_id", F.arrow_udf(run, "struct<p: bigint, n: int, prefix: array<bigint>>")("text").alias("f")).select("doc_id", "f.*")
+
+
+def _paired(left: DataFrame, right: DataFrame, similarity: float, *also: Column) -> DataFrame:
+    """(a, b), a < b: rows of one bucket whose sets are large enough behind the shared shingle; the first shared one of a similar pair always passes."""
+    a, b = (side.select("token", *[F.col(c).alias(f"{end}_{c}") for c in side.columns if c != "token"]) for side, end in ((left, "a"), (right, "b")))
+    enough = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n")) - _SLACK
+    both = a.join(b, "token").where(enough)
+    for condition in also:
+        both = both.where(condition)
+    return both.select(F.least("a_p", "b_p").alias("a"), F.greatest("a_p", "b_p").alias("b"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): the pairs (a, b) whose sets have the similarity, by count."""
+    wanted = written(pairs.distinct(), "candidates")
+    side = lambda end: sets.select(F.col("p").alias(end), F.col("set").alias(f"{end}_set"))
+    shared = F.size(F.array_intersect("a_set", "b_set")) * (1 + similarity) >= similarity * (F.size("a_set") + F.size("b_set")) - _SLACK
+    return written(wanted.join(side("a"), "a").join(side("b"), "b").where(shared).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")
+
+
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows of those buckets that hold several groups of edges, with the group of each row in c."""
+    groups = written(connected_components(edges).select(F.col("node").alias("p"), F.col("component").alias("c")), "set-groups")
+    named = written(rows.select("token", "p", "n", "pos").join(groups, "p", "left").select("token", "p", "n", "pos", F.coalesce("c", "p").alias("c")), "labelled")
+    mixed = written(named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"), "mixed")
+    return written(named.join(mixed, "token"), "mixed-rows")
+
+
+def _similar_sets(prints: DataFrame, texts: DataFrame, similarity: float, shingle: int, pair_limit: int) -> DataFrame:
+    """(src, dst) of sets p: all similar pairs, or chains of such pairs within one group."""
+    filed = prints.select("p", "n", F.posexplode("prefix").alias("pos", "token"))
+    buckets = written(filed.groupBy("token").agg(F.count("*").alias("bucket")).where("bucket > 1"), "buckets")
+    rows = written(filed.join(buckets, "token"), "bucket-rows")
+    met = rows.select("p").distinct().join(prints.select("p", "id"), "p")
+    sets = written(_hashed(texts.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle).join(met.select("p"), "p", "left_semi").groupBy("p").agg(F.min("set").alias("set")), "sets")
+    small = rows.where(F.col("bucket") <= pair_limit).drop("bucket")
+    edges = _similar(_paired(small, small, similarity, F.col("a_p") < F.col("b_p")), sets, similarity)
+    large = rows.where(F.col("bucket") > pair_limit).drop("bucket")
+    if large.isEmpty():
+        return edges
+    other = F.col("a_c") != F.col("b_c")
+    for salt in range(LEADER_ROUNDS):
+        # one order for all buckets, so that those of a group of near copies share their leader
+        large = _labelled(large, edges)
+        leaders = written(large.groupBy("token").agg(F.min(F.struct(F.xxhash64("p", F.lit(salt)).alias("h"), "p", "n", "pos", "c")).alias("l")).select("token", "l.p", "l.n", "l.pos", "l.c"), "leaders")
+        edges = edges.union(_similar(_paired(large, leaders, similarity, other), sets, similarity))
+    # what is left: every pair between different groups of a bucket has a side outside its largest group
+    large = _labelled(large, edges)
+    sizes = large.groupBy("token", "c").agg(F.count("*").alias("size"))
+    major = written(sizes.groupBy("token").agg(F.max(F.struct("size", "c"))["c"].alias("major")), "major-groups")
+    minor = written(large.join(major, "token").where("c <> major").drop("major"), "minor-rows")
+    return edges.union(_similar(_paired(minor, large, similarity, other), sets, similarity))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", pair_limit: int = LED_FROM) -> DataFrame:
     """(doc_id, n, component_id) of every different non-null id: n rows bear it; component_id is the smallest id of its group.
 
-    Texts link if the check estimates their similarity at `similarity` or more. Equal checks link
-    without a comparison; rows of one id are one document.
+    Texts link if the sets of their shingles have a Jaccard similarity of `similarity` or more; rows
+    of one id are one document. pair_limit decides on cost only.
     """
-    slim = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    marked = written(_with_long_fingerprints(slim, shingle).where("doc_id is not null"), "long-fingerprints")
-    prints = written(marked.groupBy("check").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")), "long-prints")
-    checks = prints.select("id", "check")
-    first = F.col("check")[0]
-    exact = links(checks.select(first.alias("fp")).distinct(), 2)
-    heads = checks.groupBy(first.alias("fp")).agg(F.min("id").alias("head"))
-    by_head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
-    near = exact.join(by_head("src"), "src").join(by_head("dst"), "dst").select(F.least("src_head", "dst_head").alias("a"), F.greatest("src_head", "dst_head").alias("b"))
-    same_head = checks.join(heads, first == F.col("fp")).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    wanted = written(_candidates(prints, pair_limit).union(near).union(same_head).distinct(), "candidates")
-    side = lambda end: checks.select(F.col("id").alias(end), F.col("check").alias(f"{end}_check"))
-    bits = sum((F.bit_count(F.col("a_check")[i].bitwiseXOR(F.col("b_check")[i])) for i in range(CHECK_WORDS)), F.lit(0))
-    linked = wanted.join(side("a"), "a").join(side("b"), "b").where(bits <= allowed_bits(similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    # an id whose rows have several texts links their checks
-    own = marked.join(checks.withColumnRenamed("id", "head"), "check").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).where("src <> dst")
+    if not 0 < similarity <= 1:
+        raise ValueError("similarities above 0 and up to 1 are supported")
+    slim = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where("doc_id is not null")
+    marked = written(_with_prefixes(slim, shingle, similarity), "set-prefixes")
+    prints = written(marked.groupBy("p").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("prefix").alias("prefix")), "set-prints")
+    found = _similar_sets(prints, slim, similarity, shingle, pair_limit)
+    named = lambda end: prints.select(F.col("p").alias(end), F.col("id").alias(f"{end}_id"))
+    linked = found.join(named("src"), "src").join(named("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    # equal sets, and an id whose rows have several texts
+    own = marked.join(prints.select("p", "id"), "p").select(F.col("doc_id").alias("src"), F.col("id").alias("dst")).where("src <> dst")
     groups = connected_components(linked.union(own))
     counts = marked.groupBy("doc_id").agg(F.count("*").alias("n"))
     return counts.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
