@@ -331,11 +331,14 @@ def _similar_sets(prints: DataFrame, texts: DataFrame, similarity: float, shingl
     filed = prints.select("p", "n", F.posexplode("prefix").alias("pos", "token"))
     buckets = written(filed.groupBy("token").agg(F.count("*").alias("bucket")).where("bucket > 1"), "buckets")
     rows = written(filed.join(buckets, "token"), "bucket-rows")
-    met = rows.select("p").distinct().join(prints.select("p", "id"), "p")
-    sets = written(_hashed(texts.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle).join(met.select("p"), "p", "left_semi").groupBy("p").agg(F.min("set").alias("set")), "sets")
     small = rows.where(F.col("bucket") <= pair_limit).drop("bucket")
-    edges = _similar(_paired(small, small, similarity, F.col("a_p") < F.col("b_p")), sets, similarity)
     large = rows.where(F.col("bucket") > pair_limit).drop("bucket")
+    pairs = written(_paired(small, small, similarity, F.col("a_p") < F.col("b_p")).distinct(), "pairs")
+    # only sets that are compared are made again
+    met = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).union(large.select("p")).distinct()
+    ids = written(met.join(prints.select("p", "id"), "p").select(F.col("id").alias("doc_id")).distinct(), "compared")
+    sets = written(_hashed(texts.join(ids, "doc_id", "left_semi"), shingle).groupBy("p").agg(F.min("set").alias("set")), "sets")
+    edges = _similar(pairs, sets, similarity)
     if large.isEmpty():
         return edges
     other = F.col("a_c") != F.col("b_c")
