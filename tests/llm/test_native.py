@@ -196,3 +196,15 @@ def test_base_digest_of_the_secrets_query(spark, sf):
         spans = slow_base(docs[r.doc_id])
         line = ",".join(f"{secrets.KINDS[k - 1]}:{a}:{b}" for a, k, b in spans)
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in (1, 2, 3))
+
+
+def test_links_over_lines_and_relative_links(spark):
+    net = "http://b.example.net"
+    rows = [
+        (1, "http://a.example.org/x", f'<link\n href="{net}/y"\n rel="canonical">'), (2, "http://a.example.org/z", f'<meta\ncontent="0; url={net}/y"\nhttp-equiv="refresh">'),
+    ]
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block"}
+    links = {"next.html": "http://h/a/next.html", "?id=2": "http://h/a/b?id=2", "../x?q=../y": "http://h/x?q=../y", "../../../x": "http://h/x", "./": "http://h/a/", "..": "http://h/", "c/./d/../e": "http://h/a/c/e", "/w": "http://h/w", "mailto:x@y": None}
+    pages = spark.createDataFrame([("http://h/a/b?k", f'<link rel=canonical href="{k}">') for k in links], "url string, html string")
+    assert sorted(r.dst for r in url_rules.link_edges(pages).collect()) == sorted(v for v in links.values() if v)

@@ -9,8 +9,7 @@ differ only in fragment, letter case of scheme and host, default port or trackin
 the same node. What nothing decides is allowed.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits no rule and has
-no aliases; null html has no links; relative links are resolved against the page's URL if they begin
-with "/" or "//", others are left out; repeated rows are judged alike; rows are kept one for one.
+no aliases; null html has no links; relative links are resolved against the page's URL; repeated rows are judged alike; rows are kept one for one.
 """
 
 from __future__ import annotations
@@ -56,12 +55,29 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its segments . and .. resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    up = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    whole = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), up)
+    return F.concat(F.array_join(whole, "/"), F.when(last.isin(".", "..") | (F.size(whole) == 1), F.lit("/")).otherwise(""))
+
+
 def _absolute(link: Column, url: Column) -> Column:
+    """The link's address, resolved against the page's; null if another scheme has no "://"."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(url))
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
     return (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (host_of(url) == ""), F.lit(None))
+        .when(link.startswith("#"), url)
+        .when(link.startswith("?"), F.concat(root, path_of(url), link))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
     )
 
 
@@ -73,8 +89,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
     marked = pages.select(col(url).alias("url"), col(html).alias("html")).where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv")).where("url is not null")
     each = marked.select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"""(?i)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*" + quoted, 1))
-    refresh = F.when(F.col("tag").rlike(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"(?is)\burl\s*=\s*" + quoted, 1))
+    canonical = F.when(F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*" + quoted, 1))
+    refresh = F.when(F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"(?is)\burl\s*=\s*" + quoted, 1))
     link = F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&")
     return each.select("url", link.alias("link")).where("link <> ''").select(F.col("url").alias("src"), _absolute(F.col("link"), F.col("url")).alias("dst")).where("dst is not null")
 
