@@ -133,3 +133,17 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, sf):
             docs_out.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
 
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><head><title>T</title><meta charset=x><body><p>seen</p><div>too</div></body></html>",
+        "<html><head><title>T</title><p>seen</p><div>too</div>",
+        "<html><head><title>T</title>seen<div>too</div>",
+        "<body><div><svg/>seen<p>too</p></div></body>",
+        "<body><div><math/>seen<svg><g><path d='x'/><title/>unseen</g></svg><p>too</p></div></body>",
+    ],
+)
+def test_open_heads_and_self_closed_elements_hide_nothing(html):
+    assert [t for _, t, _ in html_text.leaf_blocks(html)] == ["seen", "too"]

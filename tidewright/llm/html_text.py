@@ -36,6 +36,9 @@ TRAIN_PAGES = 400
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style noscript template iframe object svg math canvas head title textarea select option button".split())
+#: Elements that can stand in a head; any other ends it, even without its end tag.
+IN_HEAD = set("base basefont bgsound link meta title style script noscript template noframes head html".split())
+FOREIGN = ("svg", "math")
 #: An open element of these is closed by the start of the same or of one that cannot stand in it.
 CLOSED_BY = {"p": set("p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 pre blockquote hr figure address fieldset".split()), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 TAGS = "article main body p h1 h2 h3 h4 h5 h6 li ul ol dl table td th pre blockquote figure figcaption div section nav header footer aside form fieldset dialog menu address details".split()
@@ -74,7 +77,14 @@ class _Blocks(HTMLParser):
             self.blocks.append(([m for _, m in self.open if m], text, self.linked))
         self.text, self.linked = [], 0
 
+    def end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.flush()
+            self.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in VOID or tag in INLINE:
             self.links += tag == "a"
             if tag in ("br", "hr", "img", "input"):
@@ -91,6 +101,8 @@ class _Blocks(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag in FOREIGN or any(t in FOREIGN for t, _ in self.open):
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag == "a":
@@ -109,6 +121,8 @@ class _Blocks(HTMLParser):
         return tag
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if not self.hidden:
             self.text.append(data)
             if self.links:
