@@ -38,6 +38,14 @@ def test_cuts_are_where_no_token_reaches(own):
     assert all(pair in own.joined for p in parts for pair in zip(p, p[1:]))
 
 
+def test_words_in_use_outlive_a_full_memo():
+    made = []
+    memo = bpe._Memo(lambda w: made.append(w) or w.encode(), 3)
+    for word in ["a", "b", "c", "d", "a", "e", "a", "x" * 300, "x" * 300]:
+        assert memo[word] == word.encode()
+    assert made.count("a") == 1 and made.count("x" * 300) == 2 and len(memo) + len(memo.old) <= 6
+
+
 def test_query_rows(spark, odd_docs, library):
     rows = bpe.digests(odd_docs).collect()
     want = []

@@ -58,14 +58,6 @@ def test_query_on_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_one_of_each_group(odd_docs, no_docs):
-    kept = simhash.one_of_each_group(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids.count(3) == 1 and 4 not in ids and 2 not in ids and 1 in ids and 5 in ids and 7 in ids
-    assert simhash.one_of_each_group(no_docs).count() == 0
-
-
 def test_thresholds_by_dynamic_programming():
     costs = [{-1: 0.0, 0: 5.0, 1: 50.0}, {-1: 0.0, 0: 1.0, 1: 9.0}, {-1: 0.0, 0: 100.0, 1: 900.0}]
     assert simhash.allocate(costs, 0) == (14.0, [0, 1, -1])
@@ -83,123 +75,3 @@ def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (None, 1), (7, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)}
-
-
-def shingles(text, n=5):
-    w = simhash._WORD.findall(text.translate(simhash._LOWER))
-    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or {" ".join(w)}
-
-
-@pytest.mark.parametrize("pair_limit", [2, 32])
-def test_similar_texts_are_grouped(spark, pair_limit):
-    """Edited copies of a few texts: pairs of similarity 0.85 and more share a group, others below 0.6 do not."""
-    rng = np.random.default_rng(pair_limit)
-    pool = [f"w{i}" for i in range(3000)]
-    rows = []
-    for base in range(6):
-        words = list(rng.choice(pool, 400))
-        for copy in range(25):
-            own = list(words)
-            for at in rng.choice(400, copy // 4, replace=False):
-                own[at] = "changed%d" % rng.integers(1000)
-            rows.append((base * 1000 + copy, " ".join(own)))
-    rows += [(9000 + i, " ".join(rng.choice(pool, 200))) for i in range(60)] + [(9999, None)]
-    out = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), pair_limit=pair_limit)
-    group = {r.doc_id: r.component_id for r in out.collect()}
-    sets = {i: shingles(t) for i, t in rows if t}
-    close = far = lost = 0
-    for a in sets:
-        for b in sets:
-            if a < b:
-                j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-                close += j >= 0.85
-                lost += j >= 0.85 and group[a] != group[b]
-                far += j < 0.3 and group[a] == group[b]
-    assert close > 500 and lost <= 0.01 * close and far == 0
-    assert group[9999] == 9999 and len(group) == len(rows)
-
-
-def exact_groups(rows, similarity=0.8):
-    """The groups of exact Jaccard links of five-word shingle sets, and the number of links."""
-    sets = {i: shingles(t or "") for i, t in rows}
-    ids = sorted(sets)
-    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 10 * len(sets[a] & sets[b]) >= round(10 * similarity) * len(sets[a] | sets[b])]
-    return groups(near, ids), len(near)
-
-
-def found_groups(spark, rows, **options):
-    out = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), **options)
-    return {r.doc_id: r.component_id for r in out.collect()}
-
-
-def lost_members(got, want):
-    return sum(got[i] != c for i, c in want.items())
-
-
-def test_pairs_in_large_buckets(spark):
-    """Pairs of similar texts that all share one long passage: buckets hold texts of many groups."""
-    rng = np.random.default_rng(5)
-    pool = [f"w{i}" for i in range(5000)]
-    passage = list(rng.choice(pool, 310))
-    rows = []
-    for pair in range(120):
-        own = list(rng.choice(pool, 90))
-        rows.append((2 * pair, " ".join(passage + own)))
-        own[40:42] = ["x", "y"]
-        rows.append((2 * pair + 1, " ".join(passage + own)))
-    want, near = exact_groups(rows)
-    assert near == 120
-    assert lost_members(found_groups(spark, rows), want) == 0
-
-
-def test_one_large_group_of_near_copies(spark):
-    """Copies of one text with edits of their own: alike to the text, less so to each other, some only through a chain."""
-    rng = np.random.default_rng(6)
-    base = list(rng.choice([f"w{i}" for i in range(5000)], 300))
-    rows = []
-    for i in range(150):
-        own = list(base)
-        for at in rng.choice(300, rng.integers(0, 16), replace=False):
-            own[at] = f"e{rng.integers(10_000)}"
-        rows.append((i, " ".join(own)))
-    want, near = exact_groups(rows)
-    assert near > 200 and len(set(want.values())) > 10
-    for limit in (2, simhash.LED_FROM):
-        assert found_groups(spark, rows, pair_limit=limit) == want
-
-
-def block_edits(rng, kind, words, share):
-    n = len(words)
-    fresh = [f"n{rng.integers(1 << 40)}" for _ in range(n)]
-    if kind == "appended":
-        return words + fresh[: int(n * share)]
-    if kind == "truncated":
-        return words[: n - int(n * share)]
-    return words[: n - int(n * share)] + fresh[: int(n * share)]
-
-
-@pytest.mark.parametrize("kind,low,high", [("appended", 0.17, 0.25), ("truncated", 0.14, 0.2), ("replaced", 0.07, 0.11)])
-def test_block_edits_between_80_and_85(spark, kind, low, high):
-    rng = np.random.default_rng(7)
-    pool = [f"w{i}" for i in range(5000)]
-    rows = []
-    for pair in range(100):
-        words = list(rng.choice(pool, 400))
-        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(block_edits(rng, kind, words, rng.uniform(low, high))))]
-    want, near = exact_groups(rows)
-    assert near > 85
-    assert lost_members(found_groups(spark, rows), want) == 0
-
-
-def test_links_on_either_side_of_the_threshold(spark):
-    """Similarities from 0.76 to 0.84: exactly those of 0.8 and more link; so do very short texts, and 0.8 itself."""
-    rng = np.random.default_rng(8)
-    pool = [f"w{i}" for i in range(5000)]
-    rows = []
-    for pair in range(120):
-        words = list(rng.choice(pool, 204))
-        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[: 155 + pair // 2]))]
-    rows += [(1000, "a b c d e f g h i"), (1001, "a b c d e f g h"), (1002, "a b c d e f g"), (1003, "q r"), (1004, "Q r"), (1005, None), (1006, " \n")]
-    want, near = exact_groups(rows)
-    assert 40 < near < 110 and want[1001] == 1000 and want[1002] == 1002 and want[1006] == 1005
-    assert found_groups(spark, rows) == want

@@ -4,20 +4,21 @@ A vocabulary token is a string of bytes. If two neighbouring bytes occur side by
 token at all, no merge can ever join across them, so the text may be cut there for certain. The
 pre-tokenizer's word boundaries are such cuts by definition; inside words the table of byte pairs
 gives further ones. Every fragment between two cuts is encoded on its own, by the tokenizers
-library's BPE model, and the ids are concatenated. Fragments repeat, so each is encoded once per
-worker while a memo of bounded size holds it.
+library's BPE model, and the ids are concatenated. Words repeat, so a worker keeps the packed ids of
+those in use in a memo of bounded size.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; strings of special
-tokens become their ids, as the library does by default; rows and all other columns stay as they
-are; a result column whose name is taken is refused.
+tokens become their ids, as the library does by default; very long texts are encoded whole, word by
+word; repeated rows are encoded alike, one for one; an empty table gives an empty table; all other
+columns stay as they are; a result column whose name is taken is refused.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, short_batches, table
+from .common import col, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that a worker's memo holds before it starts anew.
-MEMO_WORDS = 250_000
+#: Words of one generation of a worker's memo, and the longest ones that it keeps. Both decide on cost only.
+MEMO_WORDS, MEMO_LETTERS = 250_000, 256
 
 # The pattern of the public byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,12 +51,21 @@ def byte_letters() -> list[str]:
 
 
 class _Memo(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    """Word -> packed ids. When a generation is full it becomes the old one, from which words in use come back."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        self[word] = ids = self.encode(word)
+    def __init__(self, encode, words: int):
+        super().__init__()
+        self.encode, self.words, self.old = encode, words, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= MEMO_LETTERS:
+            if len(self) >= self.words:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -83,38 +93,55 @@ class ForcedBoundaryBPE:
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
         self._split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo_words = memo_words
-        self.memo = _Memo(self._encode_word)
+        #: Bytes of one packed id, as a number without sign, least byte first.
+        self.width = 2 if len(self.token_bytes) <= 1 << 16 else 4
+        self._letter = {2: "H", 4: "I"}[self.width]
+        self._special_packed = {t: self.pack([i]) for t, i in self.special.items()}
+        self.memo = _Memo(self._pack_word, memo_words)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self._letter}", *ids)
+
+    def unpack(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, f"<u{self.width}")
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """raw, cut between any two bytes that stand side by side in no token."""
         joined = self.joined
+        if joined.issuperset(zip(raw, raw[1:])):
+            return [raw]
         cuts = [i for i, pair in enumerate(zip(raw, raw[1:]), 1) if pair not in joined]
-        return [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)])] if cuts else [raw]
+        return [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)])]
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
+    def _pack_word(self, word: str) -> bytes:
         letters, tokenize = self.shown, self.model.tokenize
-        return tuple([t.id for part in self.fragments(word.encode()) for t in tokenize(part.decode("latin-1").translate(letters))])
+        return self.pack([t.id for part in self.fragments(word.encode()) for t in tokenize(part.decode("latin-1").translate(letters))])
 
-    def _encode_ordinary(self, text: str) -> list[int]:
+    def _pack_ordinary(self, text: str) -> bytes:
         words = (_GENERAL if _NOT_PLAIN.search(text) else _PLAIN).findall(text)
-        return list(chain.from_iterable(map(self.memo.__getitem__, words)))
+        return b"".join(map(self.memo.__getitem__, words))
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The text's ids, `width` bytes each."""
         if not text:
-            return []
-        if len(self.memo) > self.memo_words:
-            self.memo.clear()
+            return b""
         if self._split_special is None or not self._split_special.search(text):
-            return self._encode_ordinary(text)
-        ids: list[int] = []
-        for part in self._split_special.split(text):
-            ids += [self.special[part]] if part in self.special else self._encode_ordinary(part)
-        return ids
+            return self._pack_ordinary(text)
+        known = self._special_packed
+        return b"".join([known[part] if part in known else self._pack_ordinary(part) for part in self._split_special.split(text)])
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.unpack(self.packed(text)).tolist()
+
+    def encode_all(self, texts: list[str | None]) -> tuple[pa.ListArray, list[np.ndarray]]:
+        """The ids of every text, as an Arrow list of int and one by one."""
+        parts = [self.packed(t) for t in texts]
+        ends = np.cumsum([0, *map(len, parts)]) // self.width
+        flat = self.unpack(b"".join(parts))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))), [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
     def decode(self, ids: Iterable[int]) -> str:
-        at = self.token_bytes
-        return b"".join([at[i] for i in ids]).decode("utf-8", errors="replace")
+        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 _OPEN: dict[int, ForcedBoundaryBPE] = {}
@@ -143,16 +170,12 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     """docs with the column `ids`: each whole text's token ids (array of int)."""
     if ids in docs.columns:
         raise ValueError(f"the column {ids} exists")
-    spark = docs.sparkSession
-    short_batches(spark)
-    sent = spark.sparkContext.broadcast(vocabulary_text(path))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = opened(sent.value)
-        for batch in batches:
-            rows = [np.array(bpe.encode(t), dtype=np.int32) for t in batch.to_pylist()]
-            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+        for batch in slices(batches):
+            yield bpe.encode_all(batch.to_pylist())[0]
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(ids, F.arrow_udf(run, T.ArrayType(T.IntegerType()))(col(text)))
@@ -166,7 +189,7 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = opened(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             flat, ends = batch.flatten().to_pylist(), batch.offsets.to_numpy() - batch.offsets[0].as_py() if len(batch) else []
             if batch.null_count:
                 yield pa.array([bpe.decode(x or []) for x in batch.to_pylist()], pa.string())
@@ -181,20 +204,13 @@ def round_trip(docs: DataFrame, name: str, text: str = "text", path: str | None
     """docs with the struct column `name`: ids, and decoded, the text that those ids spell. One worker a task does both."""
     if name in docs.columns:
         raise ValueError(f"the column {name} exists")
-    spark = docs.sparkSession
-    short_batches(spark)
-    sent = spark.sparkContext.broadcast(vocabulary_text(path))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = opened(sent.value)
-        for batch in batches:
-            rows, spelled = [], []
-            for t in batch.to_pylist():
-                ids = bpe.encode(t)
-                spelled.append(bpe.decode(ids))
-                rows.append(np.array(ids, dtype=np.int32))
-            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+        for batch in slices(batches):
+            ids, each = bpe.encode_all(batch.to_pylist())
+            spelled = [bpe.decode(x.tolist()) for x in each]
             yield pa.StructArray.from_arrays([ids, pa.array(spelled, pa.string())], ["ids", "decoded"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold: texts can be long, so batches stay short.
+#: Rows of an Arrow batch that become Python objects at a time: texts can be long.
 BATCH_ROWS = 256
-#: A table is broadcast only up to this many rows; beyond it the plain join stays.
-BROADCAST_ROWS = 1_000_000
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the innermost scope of intermediates, and the scope around it.
+_SCOPE: ContextVar[tuple | None] = ContextVar("scope", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; where none is set, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -34,28 +40,68 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def expire(spark: SparkSession, path: str) -> None:
-    """What was written at path goes when the application ends."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+def _where(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def expire(spark: SparkSession, path: str) -> None:
+    """What was written at path goes when the application ends."""
+    store, at = _where(spark, path)
+    store.deleteOnExit(at)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go at the end of the block, unless they were written to outlive it."""
+    outer = _SCOPE.get()
+    made: list[str] = []
+    token = _SCOPE.set((made, outer))
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in made:
+            store, at = _where(spark, path)
+            store.delete(at, True)
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an action inside go when it ends: what it wrote stands for them. The session's own setting comes back."""
+    before = spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
+def written(df: DataFrame, what: str, outlive: bool = False) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and survives lost executors.
 
-    Its size is known to the optimizer, so later joins broadcast it only if it is small.
+    Its size is known to the optimizer, so later joins broadcast it only if it is small. It goes with
+    the scope that it is written in (outlive: with the one around that), at the latest with the application.
     """
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
-    expire(spark, path)
+    scope = _SCOPE.get()
+    if outlive and scope:
+        scope = scope[1]
+    if scope:
+        scope[0].append(path)
+    else:
+        expire(spark, path)
+    with released_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, rows)
+def slices(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
+    """Arrow arrays or record batches, cut into slices of at most `rows` rows."""
+    for batch in batches:
+        for i in range(0, len(batch) or 1, rows):
+            yield batch.slice(i, rows)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import passing, written
 
 #: Rounds after which a run is given up; their number grows with the logarithm of a component's width.
 MAX_ROUNDS = 60
@@ -18,8 +18,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the smallest node it sees, until all edges point at the smallest node of their component. Stars
     keep as many edges as nodes, so a giant component stays linear; minima are pre-aggregated, and
     both sides of each join are tables, so that a hub's rows are split (or the small side broadcast).
-    Nodes without an edge do not appear; null ends and loops are left out.
+    Nodes without an edge do not appear; null ends and loops are left out. The result is a table.
     """
+    with passing(edges.sparkSession):
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     now = _kept(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("src is not null and dst is not null and src <> dst"))
     seen = _mark(now)
     for _ in range(MAX_ROUNDS):
@@ -34,7 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    return written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct()), "components", outlive=True)
 
 
 def _kept(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, short_batches, table
+from .common import col, slices, table
 from .crf import LinearChainCRF
 
 #: Pages of the table that the model is fitted on, at most (those of smallest hash).
@@ -222,10 +222,9 @@ def _sequence(html: str) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES) -> LinearChainCRF:
     """The model from the fixed labelled pages and at most `limit` pages of the table that label themselves."""
-    short_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(b, own_labels(b)) for b in map(leaf_blocks, batch.column(0).to_pylist())]
             kept = [(block_features(b).tobytes(), bytes(y)) for b, y in found if b and y is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.binary()), pa.array([y for _, y in kept], pa.binary())], names=["x", "y"])
@@ -252,10 +251,9 @@ def extract(pages: DataFrame, model: LinearChainCRF, name: str = "text", html: s
     """pages with the column `name`: the main text."""
     if name in pages.columns:
         raise ValueError(f"the column {name} exists")
-    short_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([main_text(h, model) for h in batch.to_pylist()], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

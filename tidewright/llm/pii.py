@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, row_key, short_batches, table, written
+from .common import col, row_key, slices, table, written
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 ROUNDS = 3
@@ -135,12 +135,11 @@ def occurrences(text: str) -> list[tuple[int, int, int, str, list[str]]]:
 
 def _found(docs: DataFrame) -> DataFrame:
     """(k, doc_id, found) of docs (k, doc_id, text): one reading of the texts."""
-    short_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
     names = ("start", "end", "kind", "instance", "patterns")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([[dict(zip(names, x)) for x in occurrences(t)] for t in batch.to_pylist()], kind)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, free_name, short_batches, table
+from .common import col, free_name, slices, table
 from .crf import LinearChainCRF
 
 #: Labelled documents of either kind that the model is fitted on, at most.
@@ -84,13 +84,12 @@ def _lines(text: str) -> tuple[list[str], list[list[str]]]:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", limit: int = TRAIN_DOCS) -> LinearChainCRF | None:
     """The model from at most `limit` labelled documents of either kind; None if a kind is missing."""
-    short_batches(docs.sparkSession)
     known = labels.select(col(doc_id).alias("doc_id"), col(quality).cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").distinct()
     order = F.xxhash64("doc_id", "quality"), "doc_id", "quality"
     chosen = known.where("quality = 0").orderBy(*order).limit(limit).union(known.where("quality = 1").orderBy(*order).limit(limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [line_features(*_lines(t)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["quality", "rows"])
 
@@ -123,12 +122,11 @@ def judge_text(text: str | None, model: LinearChainCRF | None) -> tuple:
 
 def judge(docs: DataFrame, model: LinearChainCRF | None, name: str, text: str = "text") -> DataFrame:
     """docs with the struct column `name`: the counts, the verdict `kept`, and the content share behind it."""
-    short_batches(docs.sparkSession)
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.float64()]
     names = [f.split()[0] for f in _RESULT.split(", ")]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [judge_text(t, model) for t in batch.to_pylist()]
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)

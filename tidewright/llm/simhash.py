@@ -20,8 +20,9 @@ Search, over distinct fingerprints only (copies share one):
    the at most 65 fingerprints at a point are all linked to the smallest. 65 rows a member, no pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts with
-fewer words than a shingle are one shingle; a null document id never names a group; rows are kept
-one for one.
+fewer words than a shingle are one shingle; very long texts are read whole; a null document id never
+names a group; an empty table gives an empty table; other columns, whatever their names, are not
+read; rows are kept one for one.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, free_name, short_batches, table, written
+from .common import col, passing, slices, table, written
 from .components import connected_components
 
 BITS = 64
@@ -58,6 +59,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         shingles = map(" ".join, zip(*(words[i:] for i in range(shingle))))
     hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half the hashes."""
     votes = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         votes += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -66,10 +72,9 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, name: str, text: str = "text", shingle: int = 3) -> DataFrame:
     """docs with the column `name` (bigint): the fingerprint's 64 bits."""
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array(np.array([fingerprint(t, shingle) for t in batch.to_pylist()], dtype=np.uint64).view(np.int64))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -203,193 +208,18 @@ def links(prints: DataFrame, max_distance: int, pair_limit: int = PAIR_LIMIT) ->
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, doc_id: str = "doc_id", text: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of its group)."""
-    slim = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    marked = written(with_fingerprints(slim, "fp", "text", shingle).select("doc_id", "fp"), "fingerprints")
-    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    groups = written(connected_components(links(prints.select("fp"), max_distance, pair_limit)), "groups")
-    # a fingerprint without links is its own group
-    rooted = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(named, "root").select("fp", "component_id"), "named")
+    with passing(docs.sparkSession):
+        slim = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
+        marked = written(with_fingerprints(slim, "fp", "text", shingle).select("doc_id", "fp"), "fingerprints", outlive=True)
+        prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+        groups = connected_components(links(prints.select("fp"), max_distance, pair_limit))
+        # a fingerprint without links is its own group
+        rooted = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+        named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = written(rooted.join(named, "root").select("fp", "component_id"), "named", outlive=True)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-# --- similarity of 0.8 and more -----------------------------------------------------------------
-#
-# At a Jaccard similarity of 0.8 two 64-bit fingerprints differ by 10 bits or so, where pigeonhole
-# thresholds would let candidates grow with the square of the input. So this search is exact on the
-# sets of shingle hashes: in any one order of all shingles, two sets of similarity s or more share one
-# of the first n - ceil(s * n) + 1 of the n shingles of either (the prefix). Shingles that are common
-# in a sample come last in the order, so that a passage in many texts is in few prefixes; the order
-# decides on cost only. Every pair is verified on the whole sets.
-
-#: A bucket up to this size is paired; of a larger one, members are first compared with leaders.
-LED_FROM = 8
-#: Rounds of leaders before all pairs that are left between different groups are compared.
-LEADER_ROUNDS = 3
-# Texts in the sample for the order, and common shingles that are told from the rest.
-ORDER_TEXTS, ORDER_SHINGLES = 4_000, 100_000
-_SLACK = 1e-6
-
-
-def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The hashes of the text's different shingles in ascending order; a text without words has one, that of nothing."""
-    words = _WORD.findall(text.translate(_LOWER)) if text else []
-    grams = set(map(" ".join, zip(*(words[i:] for i in range(shingle))))) or {" ".join(words)}
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=np.uint64))
-
-
-def prefix_length(n: int, similarity: float) -> int:
-    return min(n, n - int(np.ceil(similarity * n - _SLACK)) + 1)
-
-
-def set_prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of (count among the `common` ones, hash)."""
-    rank = np.zeros(len(hashes), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rank = np.where(common[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, rank))[: prefix_length(len(hashes), similarity)]]
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64), pa.int64()))
-
-
-def _set_key(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), 7) - (1 << 63)
-
-
-def _hashed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, p, set) of docs (doc_id, text): p stands for the set of shingles."""
-    short_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            sets = [shingle_hashes(t, shingle) for t in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([_set_key(x) for x in sets], pa.int64()), _lists(sets)], ["p", "set"])
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.select("doc_id", F.arrow_udf(run, "struct<p: bigint, set: array<bigint>>")("text").alias("f")).select("doc_id", "f.p", "f.set")
-
-
-def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of shingles that several texts of a sample of docs hold: a bounded number of rows."""
-    every = max(1, docs.count() // ORDER_TEXTS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counts = _hashed(sample, shingle).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rows = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect()
-    hashes = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    at = np.argsort(hashes)
-    return hashes[at], np.array([r.n for r in rows], np.int64)[at]
-
-
-def _with_prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, p, n: size of the set, prefix) of docs (doc_id, text)."""
-    common, counts = _common_shingles(docs, shingle)
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            sets = [shingle_hashes(t, shingle) for t in batch.to_pylist()]
-            yield pa.StructArray.from_arrays(
-                [pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _lists([set_prefix(x, similarity, common, counts) for x in sets])], ["p", "n", "prefix"]
-            )
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.select("doc_id", F.arrow_udf(run, "struct<p: bigint, n: int, prefix: array<bigint>>")("text").alias("f")).select("doc_id", "f.*")
-
-
-def _paired(left: DataFrame, right: DataFrame, similarity: float, *also: Column) -> DataFrame:
-    """(a, b), a < b: rows of one bucket whose sets are large enough behind the shared shingle; the first shared one of a similar pair always passes."""
-    a, b = (side.select("token", *[F.col(c).alias(f"{end}_{c}") for c in side.columns if c != "token"]) for side, end in ((left, "a"), (right, "b")))
-    enough = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n")) - _SLACK
-    both = a.join(b, "token").where(enough)
-    for condition in also:
-        both = both.where(condition)
-    return both.select(F.least("a_p", "b_p").alias("a"), F.greatest("a_p", "b_p").alias("b"))
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): the pairs (a, b) whose sets have the similarity, by count."""
-    wanted = written(pairs.distinct(), "candidates")
-    side = lambda end: sets.select(F.col("p").alias(end), F.col("set").alias(f"{end}_set"))
-    shared = F.size(F.array_intersect("a_set", "b_set")) * (1 + similarity) >= similarity * (F.size("a_set") + F.size("b_set")) - _SLACK
-    return written(wanted.join(side("a"), "a").join(side("b"), "b").where(shared).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")
-
-
-def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows of those buckets that hold several groups of edges, with the group of each row in c."""
-    groups = written(connected_components(edges).select(F.col("node").alias("p"), F.col("component").alias("c")), "set-groups")
-    named = written(rows.select("token", "p", "n", "pos").join(groups, "p", "left").select("token", "p", "n", "pos", F.coalesce("c", "p").alias("c")), "labelled")
-    mixed = written(named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"), "mixed")
-    return written(named.join(mixed, "token"), "mixed-rows")
-
-
-def _similar_sets(prints: DataFrame, texts: DataFrame, similarity: float, shingle: int, pair_limit: int) -> DataFrame:
-    """(src, dst) of sets p: all similar pairs, or chains of such pairs within one group."""
-    filed = prints.select("p", "n", F.posexplode("prefix").alias("pos", "token"))
-    buckets = written(filed.groupBy("token").agg(F.count("*").alias("bucket")).where("bucket > 1"), "buckets")
-    rows = written(filed.join(buckets, "token"), "bucket-rows")
-    small = rows.where(F.col("bucket") <= pair_limit).drop("bucket")
-    large = rows.where(F.col("bucket") > pair_limit).drop("bucket")
-    pairs = written(_paired(small, small, similarity, F.col("a_p") < F.col("b_p")).distinct(), "pairs")
-    # only sets that are compared are made again
-    met = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).union(large.select("p")).distinct()
-    ids = written(met.join(prints.select("p", "id"), "p").select(F.col("id").alias("doc_id")).distinct(), "compared")
-    sets = written(_hashed(texts.join(ids, "doc_id", "left_semi"), shingle).groupBy("p").agg(F.min("set").alias("set")), "sets")
-    edges = _similar(pairs, sets, similarity)
-    if large.isEmpty():
-        return edges
-    other = F.col("a_c") != F.col("b_c")
-    for salt in range(LEADER_ROUNDS):
-        # one order for all buckets, so that those of a group of near copies share their leader
-        large = _labelled(large, edges)
-        leaders = written(large.groupBy("token").agg(F.min(F.struct(F.xxhash64("p", F.lit(salt)).alias("h"), "p", "n", "pos", "c")).alias("l")).select("token", "l.p", "l.n", "l.pos", "l.c"), "leaders")
-        edges = edges.union(_similar(_paired(large, leaders, similarity, other), sets, similarity))
-    # what is left: every pair between different groups of a bucket has a side outside its largest group
-    large = _labelled(large, edges)
-    sizes = large.groupBy("token", "c").agg(F.count("*").alias("size"))
-    major = written(sizes.groupBy("token").agg(F.max(F.struct("size", "c"))["c"].alias("major")), "major-groups")
-    minor = written(large.join(major, "token").where("c <> major").drop("major"), "minor-rows")
-    return edges.union(_similar(_paired(minor, large, similarity, other), sets, similarity))
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", pair_limit: int = LED_FROM) -> DataFrame:
-    """(doc_id, n, component_id) of every different non-null id: n rows bear it; component_id is the smallest id of its group.
-
-    Texts link if the sets of their shingles have a Jaccard similarity of `similarity` or more; rows
-    of one id are one document. pair_limit decides on cost only.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarities above 0 and up to 1 are supported")
-    slim = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where("doc_id is not null")
-    marked = written(_with_prefixes(slim, shingle, similarity), "set-prefixes")
-    prints = written(marked.groupBy("p").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("prefix").alias("prefix")), "set-prints")
-    found = _similar_sets(prints, slim, similarity, shingle, pair_limit)
-    named = lambda end: prints.select(F.col("p").alias(end), F.col("id").alias(f"{end}_id"))
-    linked = found.join(named("src"), "src").join(named("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
-    # equal sets, and an id whose rows have several texts
-    own = marked.join(prints.select("p", "id"), "p").select(F.col("doc_id").alias("src"), F.col("id").alias("dst")).where("src <> dst")
-    groups = connected_components(linked.union(own))
-    counts = marked.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return counts.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose group holds a smaller document id; columns and texts as they are.
-
-    Rows of a null id stay. Of several rows with an id that stays, one stays.
-    """
-    found = similar_groups(docs, similarity, shingle, doc_id, text)
-    key = free_name(docs, "id")
-    ids = written(found.select(F.col("doc_id").alias(key), (F.col("doc_id") == F.col("component_id")).alias("first"), "n").where("not first or n > 1"), "ids")
-    kept = docs.join(ids.where("not first").select(key), col(doc_id) == F.col(key), "left_anti")
-    if ids.where("first").isEmpty():
-        return kept
-    return kept.where(col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(col(doc_id).isNull()))
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -12,8 +12,9 @@ stored as they are, the rest in unary as a bit vector of n ones and u / 2^l zero
 a number. select(i) finds the i-th one and adds the low bits.
 
 Defined results: a null or empty text is a document of the end id alone; null document ids come
-first; documents of equal id keep one place each, ordered by their text; an empty table makes an
-empty set of files. A document longer than a block makes its block longer.
+first; documents of equal id keep one place each, ordered by the hash of their text and then the
+text, whatever the partitioning; an empty table makes an empty set of files; other columns are not
+read. A document longer than a block makes its block longer.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import opened, vocabulary_text
-from .common import col, expire, scratch_path, short_batches, table
+from .common import col, expire, released_shuffles, scratch_path, table
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
+#: Rows of the result that a reading task makes at a time.
+DOCS_AT_ONCE = 4096
 #: One sample of the select structure for so many ones.
 SAMPLE = 256
 _BLOCK = "shard int, block int, start_in_shard bigint, n_docs bigint, n_null_ids bigint, n_ids bigint, width int, ids binary, bounds binary, first_id bigint, doc_ids binary"
@@ -90,49 +93,49 @@ class EliasFano:
         return cls(n, low_bits, np.frombuffer(raw, np.uint8, a, 16), np.frombuffer(raw, np.uint8, b, 16 + a), np.frombuffer(raw, "<u4", -1, 16 + a + b))
 
 
-def _block(shard: int, block: int, start: int, doc_ids: list, ids: list[np.ndarray], width: int) -> dict:
+def _block(shard: int, block: int, start: int, doc_ids: list, ids: list[bytes], width: int) -> dict:
     nulls = sum(d is None for d in doc_ids)
     known = np.array(doc_ids[nulls:], dtype=np.int64)
     first = int(known[0]) if len(known) else 0
-    ends = np.cumsum([0, *map(len, ids)])
+    ends = np.cumsum([0, *map(len, ids)]) // width
     return {
         "shard": shard, "block": block, "start_in_shard": start, "n_docs": len(doc_ids), "n_null_ids": nulls, "n_ids": int(ends[-1]), "width": width,
-        "ids": np.concatenate(ids).astype(f"<u{width}").tobytes(), "bounds": EliasFano.of(ends).to_bytes(), "first_id": first, "doc_ids": EliasFano.of(known - first).to_bytes(),
+        "ids": b"".join(ids), "bounds": EliasFano.of(ends).to_bytes(), "first_id": first, "doc_ids": EliasFano.of(known - first).to_bytes(),
     }
 
 
 def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, vocabulary: str | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Encodes every whole text and writes the ids, an end id after each document, in ascending order of the document id."""
     spark = docs.sparkSession
-    short_batches(spark)
     sent = spark.sparkContext.broadcast(vocabulary_text(vocabulary))
     # dealt before encoding: dealing by ranges reads its input twice
-    keyed = docs.select(col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    order = [F.asc_nulls_first("doc_id"), F.asc("text")]
-    dealt = keyed.repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(*order)
+    keyed = docs.select(col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # rows of one id may be dealt to several shards: by the hash of the text, which the order follows
+    order = [F.asc_nulls_first("doc_id"), F.asc("h")]
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         bpe = opened(sent.value)
-        width = 2 if len(bpe.token_bytes) <= 1 << 16 and end_id < 1 << 16 else 4
+        width, end = bpe.width, bpe.pack([end_id])
         shard, block, start, held = TaskContext.get().partitionId(), 0, 0, 0
         names, parts = [], []
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start_in_shard", pa.int64()), ("n_docs", pa.int64()), ("n_null_ids", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("bounds", pa.binary()), ("first_id", pa.int64()), ("doc_ids", pa.binary())])
         for batch in batches:
-            for name, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = bpe.encode(whole)
-                ids.append(end_id)
+            for name, whole in zip(batch.column(0), batch.column(1)):
+                name, whole = name.as_py(), whole.as_py()
                 names.append(name)
-                parts.append(np.array(ids, dtype=f"<u{width}"))
-                held += len(ids)
+                parts.append(bpe.packed(whole) + end)
+                held += len(parts[-1]) // width
                 if held >= block_ids:
                     yield pa.RecordBatch.from_pylist([_block(shard, block, start, names, parts, width)], schema)
                     block, start, held, names, parts = block + 1, start + held, 0, [], []
         if names:
             yield pa.RecordBatch.from_pylist([_block(shard, block, start, names, parts, width)], schema)
 
-    dealt.mapInArrow(run, _BLOCK).write.parquet(path)
+    with released_shuffles(spark):
+        dealt.mapInArrow(run, _BLOCK).write.parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -143,20 +146,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     before = shards.selectExpr("shard", "sum(total) over (order by shard rows between unbounded preceding and current row) - total as base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                bounds = EliasFano.from_bytes(row["bounds"]).all()
-                known = EliasFano.from_bytes(row["doc_ids"]).all() + row["first_id"]
-                ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-                sums = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None] * row["n_null_ids"] + known.tolist(), pa.int64()), pa.array(row["base"] + row["start_in_shard"] + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+        for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(len(batch))):
+            bounds, known = EliasFano.from_bytes(row["bounds"]), EliasFano.from_bytes(row["doc_ids"])
+            ids, before = np.frombuffer(row["ids"], f"<u{row['width']}"), row["base"] + row["start_in_shard"]
+            rows, start = [], bounds.select(0)
+            for i in range(bounds.n - 1):
+                end, at = bounds.select(i + 1), i - row["n_null_ids"]
+                rows.append((None if at < 0 else known.select(at) + row["first_id"], before + start, end - start, zlib.crc32(ids[start:end].astype("<u4").tobytes())))
+                start = end
+                if len(rows) == DOCS_AT_ONCE or i == bounds.n - 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    rows = []
 
     columns = ["start_in_shard", "n_null_ids", "width", "ids", "bounds", "first_id", "doc_ids"]
     placed = blocks.select("shard", *columns).join(F.broadcast(before), "shard").select("base", *columns)
-    short_batches(spark, 16)
     return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
