@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, decontaminate, line_dedup, quality, simhash
+from tidewright.llm import bpe, decontaminate, line_dedup, quality, similar
 from tidewright.llm.common import table, written
 
 
@@ -20,7 +20,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id."""
-    return simhash.one_of_each_group(docs)
+    return similar.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
