@@ -118,16 +118,29 @@ def leak_case():
     return docs, items
 
 
-@pytest.mark.parametrize("set_windows", [0, decontaminate.SET_WINDOWS])
-def test_decontamination(spark, monkeypatch, set_windows):
+@pytest.mark.parametrize("set_words", [1, decontaminate.SET_WORDS])
+def test_decontamination(spark, monkeypatch, set_words):
+    """Also with a bitmap of 64 bits, which lets nearly all positions pass."""
     docs, items = leak_case()
+    monkeypatch.setattr(decontaminate, "SET_WORDS", set_words)
     a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    monkeypatch.setattr(decontaminate.hits, "__defaults__", (*decontaminate.hits.__defaults__[:-1], set_windows))
     out = decontaminate.judge(a, b)
     assert no_python(out)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in out.collect()), key=repr) == sorted(slow_hits(docs, items), key=repr)
 
 
+def test_many_windows_under_one_plan(spark):
+    """300,000 windows: the bitmap stays at its bound, the plan is that of a small benchmark, hits are exact."""
+    item = " ".join(f"w{i}" for i in range(300_009))
+    small = spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14")], "item_id bigint, text string")
+    large = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 x"), (2, "w7 w8 w9 w10 w11 w12 w13 w14 w15 x"), (3, "nothing here at all " * 5)], "doc_id bigint, text string")
+    out = decontaminate.judge(docs, large)
+    shape = lambda df: re.sub(r"[0-9]+|\s+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    assert {r.doc_id: r.n_hit for r in out.collect()} == {1: 10, 2: 0, 3: 0}
+    assert re.findall("Join|Generate|Aggregate", shape(out)) == re.findall("Join|Generate|Aggregate", shape(decontaminate.judge(docs, small)))
+
+
 def test_clean_documents_and_spans(spark, odd_docs, no_docs):
     docs, items = leak_case()
     a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")

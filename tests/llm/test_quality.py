@@ -63,6 +63,33 @@ def test_held_out_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_lines_of_mixed_documents(spark):
+    """Held-out documents of both kinds laid one into the other: lines are told apart within one document."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(docs, labels.where("doc_id % 2 = 1"))
+    rows = docs.join(labels.where("doc_id % 2 = 0"), "doc_id").where("length(text) between 400 and 6000").orderBy("doc_id").select("text", "quality").collect()
+    good, bad = ([[x for x in r.text.split("\n") if len(x.split()) > 3][:8] for r in rows if r.quality == q] for q in (1, 0))
+    right = total = both = n = 0
+    for one, two in zip([g for g in good if len(g) > 1] * 3, [b for b in bad if b] * 3):
+        lines, truth = one[: len(one) // 2] + two + one[len(one) // 2 :], [1] * (len(one) // 2) + [0] * len(two) + [1] * (len(one) - len(one) // 2)
+        marks = model.viterbi(model.scores(quality.line_features(lines, [x.split() for x in lines])))
+        right += sum(a == b for a, b in zip(marks, truth))
+        total += len(lines)
+        both += len(set(marks)) == 2
+        n += 1
+    print(f"lines right {right / total:.3f}, documents with both labels {both / n:.3f} of {n}")
+    assert n >= 20 and right / total > 0.9 and both / n > 0.8
+
+
+def test_frequent_lines_are_boilerplate_in_good_documents():
+    prose = ["Rain fell all morning and the boats stayed in.", "Nobody minded much; there was work on land."]
+    rows = [quality._training_rows("\n".join([prose[0] + str(i), "All rights reserved.", prose[1] + str(i), ""])) for i in range(6)]
+    rows += [quality._training_rows("\n".join(prose))] * 9
+    frequent = quality.frequent_lines([d for _, d in rows])
+    assert len(frequent) == 1 and quality.line_labels(1, rows[0][1], frequent).tolist() == [1, 0, 1, 1] and quality.line_labels(1, rows[-1][1], frequent).tolist() == [1, 1]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(3, 1, 0), (10, 0, 0), (None, 1, None), (4, None, 1)], "doc_id bigint, quality int, toxic int")
     model = quality.fit(odd_docs, labels)

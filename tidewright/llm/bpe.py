@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .common import col, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words of one generation of a worker's memo, and the longest ones that it keeps. Both decide on cost only.
-MEMO_WORDS, MEMO_LETTERS = 250_000, 256
+#: Words, and pieces between spaces, of one generation of a worker's memos, and the longest ones that they keep. Cost only.
+MEMO_WORDS, MEMO_PIECES, MEMO_LETTERS = 400_000, 250_000, 256
 
 # The pattern of the public byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,6 +69,10 @@ class _Memo(dict):
         return ids
 
 
+class _Ragged(Exception):
+    """A space beside other white space."""
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of one vocabulary, given as the text of its tokenizers file."""
 
@@ -97,7 +101,7 @@ class ForcedBoundaryBPE:
         self.width = 2 if len(self.token_bytes) <= 1 << 16 else 4
         self._letter = {2: "H", 4: "I"}[self.width]
         self._special_packed = {t: self.pack([i]) for t, i in self.special.items()}
-        self.memo = _Memo(self._pack_word, memo_words)
+        self.memo, self.pieces = _Memo(self._pack_word, memo_words), _Memo(self._pack_spaced, min(memo_words, MEMO_PIECES))
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self._letter}", *ids)
@@ -117,10 +121,28 @@ class ForcedBoundaryBPE:
         letters, tokenize = self.shown, self.model.tokenize
         return self.pack([t.id for part in self.fragments(word.encode()) for t in tokenize(part.decode("latin-1").translate(letters))])
 
-    def _pack_ordinary(self, text: str) -> bytes:
+    def _pack_words(self, text: str) -> bytes:
         words = (_GENERAL if _NOT_PLAIN.search(text) else _PLAIN).findall(text)
         return b"".join(map(self.memo.__getitem__, words))
 
+    def _pack_spaced(self, piece: str) -> bytes:
+        """The ids of a space and the piece, which stands between two spaces."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Ragged
+        return self._pack_words(f" {piece}")
+
+    def _pack_ordinary(self, text: str) -> bytes:
+        # no word of the pre-tokenizer goes on over a single space, so pieces between single spaces are looked up whole
+        pieces = text.split(" ")
+        first, last = pieces[0], pieces[-1]
+        if len(pieces) < 3 or not first or not last or first[-1].isspace() or last[0].isspace():
+            return self._pack_words(text)
+        try:
+            middle = b"".join(map(self.pieces.__getitem__, pieces[1:-1]))
+        except _Ragged:
+            return self._pack_words(text)
+        return self._pack_words(first) + middle + self._pack_words(f" {last}")
+
     def packed(self, text: str | None) -> bytes:
         """The text's ids, `width` bytes each."""
         if not text:

@@ -2,16 +2,19 @@
 
 Texts become words: A-Z in lower case, runs of letters, digits and all characters beyond ASCII. A
 window is N consecutive words of a test item; an item of fewer words, but not none, is one window.
-Training texts are scanned inside their rows: at each word the hash of the next words is looked up
-in the set of window hashes, which goes to the tasks with the expression (up to SET_WINDOWS windows;
-of more, every position goes on to the join instead, which gives the same rows). Only positions that
-pass are taken out, and an equal join on the windows' words verifies them, so that a collision of
-hashes cannot count. Then hits are gathered per document: words inside a window, and items.
+Training texts are scanned inside their rows, once: at each word the hash of the next words is looked
+up in the hash set of all windows, which goes to every task with the query (Spark broadcasts it with the
+task). The set is a bitmap, BITS_A_WINDOW bits a window and SET_WORDS 64-bit words at most, so that its
+size is bounded; a benchmark of more windows than it has room for (half a million at 3 % of false hits)
+lets more positions pass, and nothing else changes. Positions that pass are taken out, and an equal join
+on the windows' words verifies them, so that neither a full bitmap nor a collision of hashes counts.
+Then hits are gathered per document: words inside a window, and items.
 
 Documents are told apart by 128 bits of id and text, so that null and repeated ids do no harm.
 
-Defined results: null texts have no words; repeated rows get the same result each; an empty
-benchmark hits nothing; items of equal text each count; null item ids are left out of the list.
+Defined results: null texts have no words; very long texts are scanned whole; repeated rows get the same
+result each; an empty benchmark hits nothing, an empty table gives an empty table; items of equal text
+each count; null item ids are left out of the list; other columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import col, free_name, lower_ascii, row_key, table, written
 
 N = 10
-#: The set of hashes is sent with the expression up to so many windows (24 MB of numbers).
-SET_WINDOWS = 200_000
+#: Size of the bitmap of window hashes: 64-bit words at most (2 MB), and bits a window below that.
+SET_WORDS, BITS_A_WINDOW = 1 << 18, 32
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -40,28 +43,47 @@ def windows(items: DataFrame, n: int = N, item_id: str = "item_id", text: str =
     return each.groupBy("x.window", "x.size", "x.h").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = N, text: str = "text", key: str = "k", item_id: str = "item_id", item_text: str = "text", set_windows: int = SET_WINDOWS) -> DataFrame:
-    """Per key of a text with a hit: spans (sorted distinct {pos, size}, words counted from 1) and items (sorted)."""
-    spark = docs.sparkSession
-    known = written(windows(items, n, item_id, item_text), "windows")
-    sizes = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    worded = docs.select(F.col(key), words_of(F.col(text)).alias("w"))
-    small = sum(sizes.values()) <= set_windows
-    sets = {s: ",".join(str(h) for (h,) in known.where(F.col("size") == s).select("h").distinct().collect()) for s in sizes} if small else {}
+def _bitmap(known: DataFrame, n_windows: int) -> tuple[Column, int]:
+    """The set of the windows' hashes, a constant array of 64-bit words, and the number of words (a power of two)."""
+    words = 1
+    while words < SET_WORDS and 64 * words < BITS_A_WINDOW * n_windows:
+        words *= 2
+    place, bit = F.col("h").bitwiseAND(F.lit(words - 1)), F.shiftrightunsigned("h", 58).cast("int")
+    filled = {r["at"]: r["bits"] for r in known.groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")).collect()}
+    # as SQL text: thousands of numbers as literals would make a call to the JVM each
+    return F.expr(f"cast(split('{','.join(str(filled.get(i, 0)) for i in range(words))}', ',') as array<bigint>)"), words
+
 
-    def starts(size: int) -> Column:
-        # as SQL text: thousands of numbers as literals would make a call to the JVM each
-        seen = f"xxhash64(slice(w, i, {size})) in ({sets[size]})" if small else "true"
-        return F.expr(f"filter(if(size(w) >= {size}, sequence(1, size(w) - {size} + 1), cast(array() as array<int>)), i -> {seen})")
+def scan(docs: DataFrame, known: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The `keep` columns of docs, n_words, and taken: windows (pos, size, window) whose hash is in the set. A table; texts are read once."""
+    sizes = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    bits, words = _bitmap(known, sum(sizes.values()))
 
     def taken(size: int) -> Column:
-        return F.transform(starts(size), lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", i, size)).alias("window")))
+        starts = F.expr(f"if(size(w) >= {size}, sequence(1, size(w) - {size} + 1), cast(array() as array<int>))")
+
+        def seen(i: Column) -> Column:
+            h = F.xxhash64(F.slice("w", i, size))
+            return F.get(bits, h.bitwiseAND(F.lit(words - 1)).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))) != 0
+
+        return F.transform(F.filter(starts, seen), lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", i, size)).alias("window")))
 
-    found = [taken(size) for size in sorted(sizes)]
     empty = F.array().cast("array<struct<pos:int,size:int,window:string>>")
-    at = worded.select(key, F.explode(F.concat(empty, *found)).alias("x")).select(key, "x.*")
-    verified = at.join(known.select("window", "size", "items"), ["window", "size"]).select(key, F.struct("pos", "size").alias("span"), "items")
-    return verified.groupBy(key).agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    worded = docs.select(*keep, words_of(F.col(text)).alias("w"))
+    return written(worded.select(*keep, F.size("w").cast("long").alias("n_words"), F.concat(empty, *[taken(size) for size in sorted(sizes)]).alias("taken")), "scanned")
+
+
+def verified(scanned: DataFrame, known: DataFrame, key: str = "k") -> DataFrame:
+    """Per key of a text with a hit: spans (sorted distinct {pos, size}, words counted from 1) and items (sorted)."""
+    at = scanned.select(key, F.explode("taken").alias("x")).select(key, "x.*")
+    found = at.join(known.select("window", "size", "items"), ["window", "size"]).select(key, F.struct("pos", "size").alias("span"), "items")
+    return found.groupBy(key).agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+
+def hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
+    """verified() of docs (k, text) against items."""
+    known = written(windows(items, n), "windows")
+    return verified(scan(docs, known, ["k"]), known)
 
 
 def covered(spans: Column) -> Column:
@@ -72,10 +94,11 @@ def covered(spans: Column) -> Column:
 def judge(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, items (array of strings), spans."""
     keyed = docs.select(col(doc_id).alias("doc_id"), row_key(col(doc_id), col(text)).alias("k"), col(text).cast("string").alias("text"))
-    found = hits(keyed, items, n)
-    counted = keyed.select("doc_id", "k", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    known = written(windows(items, n), "windows")
+    scanned = scan(keyed, known, ["doc_id", "k"])
+    found = written(verified(scanned, known), "hits")
     none = F.array().cast("array<string>")
-    return counted.join(found, "k", "left").select(
+    return scanned.join(found, "k", "left").select(
         "doc_id", "n_words", F.coalesce(F.size(covered(F.col("spans"))), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<pos:int,size:int>>")).alias("spans")
     )
 

@@ -5,11 +5,18 @@ Then every line is a step of a sequence; a linear-chain CRF, fitted on labelled
 as content or boilerplate (Viterbi), and the share of a document's words that lie in content lines
 decides whether it stays.
 
-Training: a document's quality label stands for its lines. The sample is bounded (TRAIN_DOCS
-documents of either label, those of smallest hash); everything else covers all rows and whole texts.
-
-Defined results: a null text has no words and fails the rules; if a label of either kind is missing,
-there is no model and the rules alone decide; rows and other columns stay as they are.
+Training: line labels come from document labels in three ways. A line of a good document is content,
+one of a bad document boilerplate; but a line that stands between FREQUENT or more different pairs of
+neighbours in the sample is boilerplate in either (copies of one text keep their neighbours, so copying
+makes no line frequent); blank lines take the label before them. And since real pages mix both, runs of
+lines of bad documents are set into good ones and the other way round, so that the transitions are
+learned from sequences that change. The sample is bounded (TRAIN_DOCS documents of either label, those of
+smallest hash, and TRAIN_LINES lines in a row of each); everything else covers all rows and whole texts.
+
+Defined results: a null text has no words and fails the rules; very long texts are judged whole; a
+content share of exactly CONTENT_SHARE stays; if a label of either kind is missing, there is no model
+and the rules alone decide; an empty table gives an empty table; rows, repeated ones too, and other
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +35,12 @@ from .crf import LinearChainCRF
 
 #: Labelled documents of either kind that the model is fitted on, at most.
 TRAIN_DOCS = 1000
+#: Lines of a document that train, at most: a run of them, placed by the text's hash.
+TRAIN_LINES = 128
+#: A line between so many different pairs of neighbours is boilerplate, whatever its document's label.
+FREQUENT = 5
+#: Lines of a run that is set into a document of the other label.
+RUN_LINES = 6
 #: A document stays if at least this share of its words is in lines marked as content.
 CONTENT_SHARE = 0.5
 MIN_WORDS = 10
@@ -82,6 +96,40 @@ def _lines(text: str) -> tuple[list[str], list[list[str]]]:
     return lines, list(map(_WORD.findall, lines))
 
 
+def _training_rows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and digests (0: blank) of a run of lines, one digest more at either end for the neighbours."""
+    lines, words = _lines(text)
+    first = xxhash.xxh64_intdigest(text, 3) % max(1, len(lines) - TRAIN_LINES + 1)
+    digests = [0, *(xxhash.xxh64_intdigest(x.strip(), 42) if w else 0 for x, w in zip(lines, words)), 0]
+    return line_features(lines, words)[first : first + TRAIN_LINES], np.array(digests[first : first + TRAIN_LINES + 2], np.uint64)
+
+
+def frequent_lines(digests: list[np.ndarray]) -> np.ndarray:
+    """Digests of lines that stand between FREQUENT or more different pairs of neighbours."""
+    seen = np.unique(np.concatenate([np.stack([d[1:-1], d[:-2], d[2:]], axis=1) for d in digests]), axis=0)[:, 0]
+    lines, counts = np.unique(seen, return_counts=True)
+    return lines[(counts >= FREQUENT) & (lines != 0)]
+
+
+def line_labels(quality: int, digests: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """1 for content, 0 for boilerplate; blank lines take the label before them."""
+    own = digests[1:-1]
+    y = np.where(np.isin(own, frequent), 0, quality)
+    last = np.maximum.accumulate(np.where(own != 0, np.arange(len(own)), -1))
+    return np.where(last >= 0, y[np.maximum(last, 0)], quality)
+
+
+def mixed_sequences(good: list[tuple], bad: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences (features, labels) of one kind with a run of the other in the middle; as many as there are pairs, of either sort."""
+    out = []
+    for one, two in zip(good, bad):
+        for (x, y), (run, marks) in ((one, two), (two, one)):
+            at, run = len(x) // 2, run[:RUN_LINES].copy()
+            run[:, -2:] = 0  # it is neither the first nor the last line there
+            out.append((np.concatenate([x[:at], run, x[at:]]), np.concatenate([y[:at], marks[:RUN_LINES], y[at:]])))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", limit: int = TRAIN_DOCS) -> LinearChainCRF | None:
     """The model from at most `limit` labelled documents of either kind; None if a kind is missing."""
     known = labels.select(col(doc_id).alias("doc_id"), col(quality).cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").distinct()
@@ -90,17 +138,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [line_features(*_lines(t)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["quality", "rows"])
+            rows = [_training_rows(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([d.tobytes() for _, d in rows], pa.binary())], names=["h", "quality", "rows", "digests"])
 
     texts = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where("text is not null")
-    # at most 2 * limit rows are sent to every task
-    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * limit).select("quality", "text").mapInArrow(run, "quality int, rows binary").collect()
-    if len({q for q, _ in sample}) < 2:
+    # at most 2 * limit rows are sent to every task; bounded rows, not texts, are put in order
+    joined = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "quality", "text")
+    sample = joined.mapInArrow(run, "h bigint, quality int, rows binary, digests binary").orderBy("h", "quality").limit(2 * limit).collect()
+    if len({r.quality for r in sample}) < 2:
         return None
     width = len(line_features([""], [[]])[0])
-    sequences = [np.frombuffer(raw, np.float32).reshape(-1, width) for _, raw in sample]
-    return LinearChainCRF.fit(sequences, [np.full(len(x), q) for (q, _), x in zip(sample, sequences)])
+    digests = [np.frombuffer(r.digests, np.uint64) for r in sample]
+    frequent = frequent_lines(digests)
+    pairs = [(np.frombuffer(r.rows, np.float32).reshape(-1, width), line_labels(r.quality, d, frequent)) for r, d in zip(sample, digests)]
+    of = lambda q: [p for r, p in zip(sample, pairs) if r.quality == q]
+    pairs += mixed_sequences(of(1), of(0))
+    return LinearChainCRF.fit([x for x, _ in pairs], [y for _, y in pairs])
 
 
 def judge_text(text: str | None, model: LinearChainCRF | None) -> tuple:
