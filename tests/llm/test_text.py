@@ -41,6 +41,46 @@ def test_discovery(spark):
     assert not any(out[200 + i].discovered for i in range(5))
 
 
+def slow_words(text, start, end):
+    return text[:start].split()[-2:], text[end:].split()[:2]
+
+
+def test_context_words_are_whole():
+    rng = random.Random(3)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "b" * 70, " ", " ", "\n", "id=", "4", "-", "x@y.zz"]) for _ in range(rng.randint(1, 14)))
+        runs = [m.span() for m in re.finditer(r"\S+", text)]
+        for start in range(len(text)):
+            for end in range(start + 1, min(len(text), start + 4) + 1):
+                if text[start].isspace() or text[end - 1].isspace():
+                    continue
+                before, after = ([pii._name(re.sub("[0-9]", "0", w.lower())) for w in side] for side in slow_words(text, start, end))
+                want = [" ".join([*before, "_"])] if len(before) == 2 else []
+                want += [f"{before[-1]} _ {after[0]}"] if before and after else []
+                want += [" ".join(["_", *after])] if len(after) == 2 else []
+                assert pii.patterns(text, start, end, runs) == want, (text, start, end)
+
+
+def test_long_names_stay_apart():
+    """Identifiers equal in their first 256 characters, and context words of the same beginning, are different nodes."""
+    one, two = ("k" * 300 + f"{n}123" for n in (1, 2))
+    (a,), (b,) = (pii.occurrences(f"before {x} after") for x in (one, two))
+    assert a[3] != b[3] and len(a[3]) < 64 and a[4] == b[4]
+    long = "w" * 200
+    assert pii.occurrences(f"see {long}1 ab-12345 end")[-1][4] != pii.occurrences(f"see {long}x ab-12345 end")[-1][4]
+
+
+def test_chains_of_patterns_are_followed_to_their_end(spark):
+    """Ten contexts, each sharing identifiers with the next: the last is reached only by nine rounds and more."""
+    say = lambda k, x: f"c{'abcdefghijk'[k] * 2} d{'abcdefghijk'[k] * 2} {x} e{'abcdefghijk'[k] * 2} f{'abcdefghijk'[k] * 2}"
+    rows = [say(0, f"user{i}@mail.example") for i in range(30)] + [say(0, f"ref0-{i}{i}07") for i in range(3)]
+    for k in range(1, 10):
+        rows += [say(k, f"user{i}@mail.example") for i in range(12)] + [say(k, f"ref{k - 1}-{i}{i}{k - 1}7") for i in range(3)] + [say(k, f"ref{k}-{i}{i}{k}7") for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    last = {r.doc_id for r in pii.find(docs).where("size(discovered) > 0").collect()}
+    assert {i for i, t in enumerate(rows) if "ref9-" in t} <= last
+
+
 def test_pii_on_odd_rows(spark, odd_docs, no_docs):
     rows = pii.find(odd_docs).collect()
     want = [(r.doc_id, slow_pii(r.text) if len(r.text or "") < 1000 else None) for r in odd_docs.select("doc_id", "text").collect()]

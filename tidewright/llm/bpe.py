@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, slices, table
+from .common import col, slices, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words, and pieces between spaces, of one generation of a worker's memos, and the longest ones that they keep. Cost only.
-MEMO_WORDS, MEMO_PIECES, MEMO_LETTERS = 400_000, 250_000, 256
+MEMO_WORDS, MEMO_PIECES, MEMO_LETTERS = 250_000, 150_000, 256
 
 # The pattern of the public byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -240,12 +240,14 @@ def round_trip(docs: DataFrame, name: str, text: str = "text", path: str | None
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return round_trip(docs.select("doc_id", "text"), "b").select(
+    """Per row: doc_id, n_tokens and the digests of ids and decoded text. A table, a few dozen bytes a row."""
+    rows = round_trip(docs.select("doc_id", "text"), "b").select(
         "doc_id",
         F.size("b.ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("b.ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("b.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+    return written(rows, "bpe-digests")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

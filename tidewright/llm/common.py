@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that become Python objects at a time: texts can be long.
 BATCH_ROWS = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths of the innermost scope of intermediates, and the scope around it.
 _SCOPE: ContextVar[tuple | None] = ContextVar("scope", default=None)
@@ -67,14 +68,17 @@ def passing(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def released_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of an action inside go when it ends: what it wrote stands for them. The session's own setting comes back."""
-    before = spark.conf.get(_RELEASE)
-    spark.conf.set(_RELEASE, "true")
+def action_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings of an action inside: short Arrow batches, and shuffle files go when it ends (what it wrote stands for them). The session's own come back."""
+    wanted = {_RELEASE: "true", _BATCH: str(BATCH_ROWS)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_RELEASE, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, what: str, outlive: bool = False) -> DataFrame:
@@ -92,7 +96,7 @@ def written(df: DataFrame, what: str, outlive: bool = False) -> DataFrame:
         scope[0].append(path)
     else:
         expire(spark, path)
-    with released_shuffles(spark):
+    with action_settings(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

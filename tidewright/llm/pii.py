@@ -5,37 +5,44 @@ Every identifier-like token (three digits or more, six characters or more) is an
 not, and the words around an occurrence are its lexical patterns: two words before, one on either
 side, two words after. Spark scores the graph of patterns and instances in rounds: a pattern's
 confidence is the mean score of its different instances (seeds 1, unknown ones 0 at first), and an
-unknown instance's score is the noisy-or of its trusted patterns. A pattern is trusted from
-MIN_CONFIDENCE and MIN_SUPPORT scored instances on; occurrences of well scored instances in trusted
+unknown instance's score is the noisy-or of its trusted patterns; rounds go on until neither changes. A
+pattern is trusted from MIN_CONFIDENCE and MIN_SUPPORT scored instances on; occurrences of well scored instances in trusted
 patterns are reported as kind `id`, unless they overlap a base span.
 
 One pass reads the texts; what it finds (a few rows for a document with identifiers) is kept as a
 table, on which the rounds run. Patterns with fewer instances than MIN_SUPPORT are left out before
 the rounds, since they can never be trusted.
 
-Defined results: null texts are empty; spans are code points, ends exclusive; copies of a text count
-once in the graph, since instances of a pattern are counted when they differ; rows are kept one for
-one.
+Names of instances and words of patterns of over NAME_LETTERS characters stand in the graph as digests
+of the whole, so that very long ones stay apart and rows stay small.
+
+Defined results: null texts are empty, an empty table gives an empty table; very long texts are read
+whole; spans are code points, ends exclusive; copies of a text count once in the graph, since instances
+of a pattern are counted when they differ; rows, repeated ones too, are kept one for one; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, row_key, slices, table, written
+from .common import col, passing, row_key, slices, table, written
 
 KINDS = ["email", "ip", "card", "phone", "id"]
-ROUNDS = 3
+#: Rounds after which a run that has not settled is given up, loudly; scores only rise, so few are needed.
+MAX_ROUNDS = 60
 MIN_CONFIDENCE = 0.8
 MIN_SUPPORT = 3
 MIN_SCORE = 0.9
-#: Characters beside a token in which its neighbouring words are looked for; of a word, WORD_PART characters count.
-REACH, WORD_PART = 120, 24
+#: Longer names are digests in the graph.
+NAME_LETTERS = 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,6 +54,7 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _HINT = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
+_RUN = re.compile(r"\S+")
 _CORE = re.compile(r"[0-9A-Za-z+](?:.*[0-9A-Za-z])?", re.S)
 _FOUND = "array<struct<start:int,end:int,kind:int,instance:string,patterns:array<string>>>"
 
@@ -105,10 +113,17 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
         hint = _HINT.search(text, last)
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: two words before, one on either side, two after."""
-    plain = [[_DIGIT.sub("0", w.lower()) for w in part.split()] for part in (text[max(0, start - REACH) : start], text[end : end + REACH])]
-    before, after = [w[-WORD_PART:] for w in plain[0][-2:]], [w[:WORD_PART] for w in plain[1][:2]]
+def _name(text: str) -> str:
+    return text if len(text) <= NAME_LETTERS else f"#{len(text)}:{xxhash.xxh3_128_hexdigest(text)}"
+
+
+def patterns(text: str, start: int, end: int, runs: list[tuple[int, int]]) -> list[str]:
+    """The lexical patterns around a span: two words before, one on either side, two after. runs: all of the text's runs without white space."""
+    i, j = bisect_right(runs, (start, 0)) - 1, bisect_right(runs, (end, 0)) - 1
+    # what of the span's own run stands beside it is a word of its own
+    before = [text[a : min(b, start)] for a, b in runs[max(0, i - 1) : i + 1] if a < start]
+    after = [text[max(a, end) : b] for a, b in runs[max(0, j) : j + 3] if b > end][:2]
+    before, after = ([_name(_DIGIT.sub("0", w.lower())) for w in side] for side in (before, after))
     out = []
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
@@ -130,7 +145,8 @@ def occurrences(text: str) -> list[tuple[int, int, int, str, list[str]]]:
             i += 1
         if reach <= a:
             spans.append((a, b, 0))
-    return [(a, b, k, (_NOT_DIGIT.sub("", text[a:b]) if k in (3, 4) else text[a:b].lower())[:256], patterns(text, a, b)) for a, b, k in spans]
+    runs = [m.span() for m in _RUN.finditer(text)] if spans else []
+    return [(a, b, k, _name(_NOT_DIGIT.sub("", text[a:b]) if k in (3, 4) else text[a:b].lower()), patterns(text, a, b, runs)) for a, b, k in spans]
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -146,18 +162,24 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.select("k", "doc_id", F.arrow_udf(run, _FOUND)("text").alias("found"))
 
 
-def trusted(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def trusted(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """edges (pattern, instance, seed: boolean), distinct -> trusted patterns (pattern, confidence) and scores of unknown instances (instance, score)."""
-    seen = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern")
-    graph = written(edges.join(seen, "pattern").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-graph")
-    scores = graph.where("false").select("instance", F.lit(0.0).alias("score"))
-    for _ in range(rounds):
-        scored = graph.join(scores, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        good = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= 0.5).alias("support"))
-        good = written(good.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "confidence"), "good-patterns")
-        unknown = graph.where("not seed").join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
-        scores = written(unknown, "instance-scores")
-    return good, scores
+    with passing(edges.sparkSession):
+        seen = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern")
+        graph = written(edges.join(seen, "pattern").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-graph")
+        scores, mark = graph.where("false").select("instance", F.lit(0.0).alias("score")), None
+        for _ in range(max_rounds):
+            scored = graph.join(scores, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+            rated = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= 0.5).alias("support"))
+            good = written(rated.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "confidence"), "good-patterns")
+            unknown = graph.where("not seed").join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
+            scores = written(unknown, "instance-scores")
+            before, mark = mark, (*good.agg(F.count("*"), F.round(F.sum("confidence"), 6)).first(), *scores.agg(F.count("*"), F.round(F.sum("score"), 6)).first())
+            if mark == before:
+                break
+        else:
+            raise RuntimeError(f"patterns are not settled after {max_rounds} rounds")
+        return written(good, "trusted-patterns", outlive=True), written(scores, "settled-scores", outlive=True)
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, free_name, slices, table
+from .common import col, free_name, slices, table, written
 from .crf import LinearChainCRF
 
 #: Labelled documents of either kind that the model is fitted on, at most.
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     texts = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where("text is not null")
     # at most 2 * limit rows are sent to every task; bounded rows, not texts, are put in order
     joined = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "quality", "text")
-    sample = joined.mapInArrow(run, "h bigint, quality int, rows binary, digests binary").orderBy("h", "quality").limit(2 * limit).collect()
+    sample = written(joined.mapInArrow(run, "h bigint, quality int, rows binary, digests binary"), "training-lines").orderBy("h", "quality").limit(2 * limit).collect()
     if len({r.quality for r in sample}) < 2:
         return None
     width = len(line_features([""], [[]])[0])
@@ -196,7 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs, fit(docs, table(spark, sf_dir, "labels")), "v").select("doc_id", "v.*")
+    return written(judge(docs, fit(docs, table(spark, sf_dir, "labels")), "v").select("doc_id", "v.*"), "verdicts")
 
 
 QUERIES = {"op3_quality": op3_quality}

@@ -43,7 +43,7 @@ LEADER_ROUNDS = 2
 #: One text of so many is counted for the order; so many of the most common shingles are told from the rest. Cost only.
 ORDER_SHARE, ORDER_SHINGLES = 8, 100_000
 #: Words whose hashes a worker keeps.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 100_000
 _SLACK = 1e-6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

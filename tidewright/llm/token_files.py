@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import opened, vocabulary_text
-from .common import col, expire, released_shuffles, scratch_path, table
+from .common import col, expire, action_settings, scratch_path, table
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
@@ -134,7 +134,7 @@ def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         if names:
             yield pa.RecordBatch.from_pylist([_block(shard, block, start, names, parts, width)], schema)
 
-    with released_shuffles(spark):
+    with action_settings(spark):
         dealt.mapInArrow(run, _BLOCK).write.parquet(path)
 
 
