@@ -125,7 +125,7 @@ def test_held_out_pages(spark, model):
     """Pages of another scale against the text between their article tags."""
     pages = table(spark, "/root/testdata/sf0.01", "pages").collect()
     for p in pages:
-        want = [t for above, t, _ in html_text.leaf_blocks(p.html) if any(tag == "article" for tag, _ in above)]
+        want = [t for above, t, _ in html_text.leaf_blocks(p.html) if above and any(tag == "article" for tag, _ in above.path())]
         assert html_text.main_text(p.html, model) == " ".join(want)
 
 
@@ -187,3 +187,28 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, sf):
 )
 def test_open_heads_and_self_closed_elements_hide_nothing(html):
     assert [t for _, t, _ in html_text.leaf_blocks(html)] == ["seen", "too"]
+
+
+def test_very_deep_pages_and_formulas():
+    """100,000 open elements take linear time and memory; text of formulas stays."""
+    blocks = html_text.leaf_blocks("<div class='content'>x" * 100_000)
+    assert len(blocks) == 100_000 and blocks[-1][0].depth == 100_000 and html_text.block_features(blocks).shape[0] == 100_000
+    assert [t for _, t, _ in html_text.leaf_blocks("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>")] == ["so x=2 holds"]
+
+
+def slow_state(path):
+    """The label rule, element by element."""
+    seen = inside = False
+    for tag, named in path:
+        seen = seen or tag in html_text._GOOD
+        inside = (inside or tag in html_text._GOOD) and tag not in html_text._BAD and not any(i in html_text._BOILER_NAMES for i in named)
+        if seen and not inside:
+            return 0
+    return int(inside)
+
+
+def test_label_states(spark):
+    for p in table(spark, "/root/testdata/sf0.001", "pages").collect():
+        blocks = html_text.leaf_blocks(p.html)
+        labels = html_text.own_labels(blocks)
+        assert labels is None or labels == [slow_state(at.path()) if at else 0 for at, _, _ in blocks]

@@ -1,7 +1,8 @@
 """Operator 5: main-text extraction by a conditional random field over DOM leaf blocks.
 
-A page is parsed into leaf blocks: runs of text between block-level tags, each with its chain of
-ancestors. Every block is a step of a sequence; features are ancestor tags, words of the ancestors'
+A page is parsed into leaf blocks: runs of text between block-level tags, each with the innermost
+element around it, which knows what its ancestors are (memory is linear in the page at any depth). Every
+block is a step of a sequence; features are ancestor tags, words of the ancestors'
 class, id and role, and the text itself (length, link share, stops). A linear-chain CRF decodes the
 page by Viterbi into article and rest; the article's blocks, white space folded, are joined in order.
 Text of scripts, styles and the like is markup and never becomes a block.
@@ -12,7 +13,9 @@ set of labelled pages (LABELLED) that names the containers the sample may lack.
 every page and the whole html.
 
 Defined results: null or empty html gives the empty text; character references are decoded, also
-unterminated ones; a tag cut off at the page's end is markup; rows are kept one for one.
+unterminated ones; a tag cut off at the page's end is markup; very long and very deep pages are read
+whole; an empty table gives an empty table; rows, repeated ones too, are kept one for one; a result
+column whose name is taken is refused.
 """
 
 from __future__ import annotations
@@ -33,12 +36,12 @@ from .crf import LinearChainCRF
 TRAIN_PAGES = 400
 
 # Kinds of HTML elements.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template iframe object svg math canvas head title textarea select option button".split())
+HIDDEN = set("script style noscript template iframe object svg canvas head title textarea select option button".split())
 #: Elements that can stand in a head; any other ends it, even without its end tag.
 IN_HEAD = set("base basefont bgsound link meta title style script noscript template noframes head html".split())
-FOREIGN = ("svg", "math")
+FOREIGN = ("svg",)
 #: An open element of these is closed by the start of the same or of one that cannot stand in it.
 CLOSED_BY = {"p": set("p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 pre blockquote hr figure address fieldset".split()), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 TAGS = "article main body p h1 h2 h3 h4 h5 h6 li ul ol dl table td th pre blockquote figure figcaption div section nav header footer aside form fieldset dialog menu address details".split()
@@ -57,28 +60,55 @@ NAMED = {
 }
 _NAMED = [re.compile(rf"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)") for words in NAMED.values()]
 _BOILER_NAMES = [i for i, k in enumerate(NAMED) if k != "content"]
-_SPACE = re.compile(r"\s+")
 _STOP = re.compile(r"[.!?,;:]")
+_PLACE = {t: i for i, t in enumerate(TAGS)}
+_GOOD, _BAD = {"article", "main"}, {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu"}
+
+
+class Element:
+    """An open element: its tag, the groups that its names belong to, and what holds for it and all elements around it."""
+
+    __slots__ = ("tag", "named", "around", "tags", "groups", "depth", "state")
+
+    def __init__(self, tag: str, named: tuple[int, ...], around: Element | None):
+        self.tag, self.named, self.around = tag, named, around
+        self.tags = (around.tags if around else 0) | (1 << _PLACE[tag] if tag in _PLACE else 0)
+        self.groups = (around.groups if around else 0) | sum(1 << i for i in set(named))
+        self.depth = around.depth + 1 if around else 1
+        #: 0: no article around; 1: in one and in no other container; 2: in another container within one
+        was = around.state if around else 0
+        good = tag in _GOOD and was != 1
+        clear = tag not in _BAD and not any(i in _BOILER_NAMES for i in named)
+        self.state = 2 if was == 2 else (1 if clear else 2) if was == 1 or good else 0
+
+    def path(self) -> list[tuple[str, tuple[int, ...]]]:
+        """(tag, groups) of all elements around, the outermost first."""
+        out, at = [], self
+        while at:
+            out.append((at.tag, at.named))
+            at = at.around
+        return out[::-1]
 
 
 class _Blocks(HTMLParser):
-    """Collects (ancestors, text, characters inside links) of every leaf block."""
+    """Collects (innermost element or None, text, characters inside links) of every leaf block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple]] = []
-        self.blocks: list[tuple[list, str, int]] = []
+        self.open: list[Element] = []
+        self.counts: dict[str, int] = {}
+        self.blocks: list[tuple[Element | None, str, int]] = []
         self.text: list[str] = []
         self.linked = self.links = self.hidden = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append(([m for _, m in self.open if m], text, self.linked))
+            self.blocks.append((self.open[-1] if self.open else None, text, self.linked))
         self.text, self.linked = [], 0
 
     def end_head(self) -> None:
-        if self.open and self.open[-1][0] == "head":
+        if self.open and self.open[-1].tag == "head":
             self.flush()
             self.pop()
 
@@ -93,15 +123,17 @@ class _Blocks(HTMLParser):
                 self.flush()
             return
         self.flush()
-        while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
+        while self.open and tag in CLOSED_BY.get(self.open[-1].tag, ()):
             self.pop()
         self.hidden += tag in HIDDEN
         said = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
-        self.open.append((tag, (tag, tuple(i for i, r in enumerate(_NAMED) if r.search(said)) if said else ())))
+        named = tuple(i for i, r in enumerate(_NAMED) if r.search(said)) if said else ()
+        self.open.append(Element(tag, named, self.open[-1] if self.open else None))
+        self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in FOREIGN or any(t in FOREIGN for t, _ in self.open):
+        if tag in FOREIGN or any(self.counts.get(t) for t in FOREIGN):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -110,12 +142,13 @@ class _Blocks(HTMLParser):
         if tag in INLINE or tag in VOID:
             return
         self.flush()
-        if any(t == tag for t, _ in self.open):
+        if self.counts.get(tag):
             while self.pop() != tag:
                 pass
 
     def pop(self) -> str:
-        tag = self.open.pop()[0]
+        tag = self.open.pop().tag
+        self.counts[tag] -= 1
         self.hidden -= tag in HIDDEN
         self.links = 0
         return tag
@@ -129,8 +162,8 @@ class _Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def leaf_blocks(html: str | None) -> list[tuple[list, str, int]]:
-    """(ancestors as (tag, named groups), text, linked characters) of every leaf block, in page order."""
+def leaf_blocks(html: str | None) -> list[tuple[Element | None, str, int]]:
+    """(innermost element, text, linked characters) of every leaf block, in page order."""
     if not html:
         return []
     # a tag that the page's end cuts off is markup
@@ -144,39 +177,25 @@ def leaf_blocks(html: str | None) -> list[tuple[list, str, int]]:
     return parser.blocks
 
 
-def block_features(blocks: list[tuple[list, str, int]]) -> np.ndarray:
+def block_features(blocks: list[tuple[Element | None, str, int]]) -> np.ndarray:
     rows, n = np.zeros((len(blocks), 2 * len(TAGS) + len(NAMED) + 8), dtype=np.float32), len(blocks)
-    at = {t: i for i, t in enumerate(TAGS)}
-    for k, (above, text, linked) in enumerate(blocks):
-        row = rows[k]
-        for tag, named in above:
-            if tag in at:
-                row[at[tag]] = 1
-            for i in named:
-                row[2 * len(TAGS) + i] = 1
-        if above and above[-1][0] in at:
-            row[len(TAGS) + at[above[-1][0]]] = 1
+    places: dict[tuple, list[int]] = {}
+    for k, (at, text, linked) in enumerate(blocks):
+        row, around = rows[k], (at.tags, at.tag, at.groups) if at else (0, "", 0)
+        if around not in places:
+            tags, tag, groups = around
+            own = [len(TAGS) + _PLACE[tag]] if tag in _PLACE else []
+            places[around] = [i for i in range(len(TAGS)) if tags >> i & 1] + own + [2 * len(TAGS) + i for i in range(len(NAMED)) if groups >> i & 1]
+        row[places[around]] = 1
         words = text.count(" ") + 1
-        row[-8:] = np.log1p(len(text)), np.log1p(words), linked / len(text), len(_STOP.findall(text)) / words, text[-1] in ".!?", "©" in text, k / n, len(above) / 10
+        row[-8:] = np.log1p(len(text)), np.log1p(words), linked / len(text), len(_STOP.findall(text)) / words, text[-1] in ".!?", "©" in text, k / n, (at.depth if at else 0) / 10
     return rows
 
 
-_GOOD, _BAD = {"article", "main"}, {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu"}
-
-
-def own_labels(blocks: list[tuple[list, str, int]]) -> list[int] | None:
+def own_labels(blocks: list[tuple[Element | None, str, int]]) -> list[int] | None:
     """1 inside article or main and in no container of another kind, else 0; None if the page has neither."""
-    if not any(tag in _GOOD for above, _, _ in blocks for tag, _ in above):
-        return None
-    out = []
-    for above, _, _ in blocks:
-        inside = False
-        for tag, named in above:
-            inside = (inside or tag in _GOOD) and tag not in _BAD and not any(i in _BOILER_NAMES for i in named)
-            if not inside and any(t in _GOOD for t, _ in above[: above.index((tag, named)) + 1]):
-                break
-        out.append(int(inside))
-    return out
+    labels = [int(at is not None and at.state == 1) for at, _, _ in blocks]
+    return labels if any(at is not None and at.state for at, _, _ in blocks) else None
 
 
 def _labelled() -> list[str]:

@@ -39,7 +39,7 @@ SIMILARITY, SHINGLE = 0.8, 5
 #: Bits in which the fingerprints of the first search may differ.
 MAX_DISTANCE = 2
 #: Rounds of leaders before all pairs that are left between different groups are compared.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 #: One text of so many is counted for the order; so many of the most common shingles are told from the rest. Cost only.
 ORDER_SHARE, ORDER_SHINGLES = 8, 100_000
 #: Words whose hashes a worker keeps.
