@@ -9,7 +9,7 @@ the similarity links and nothing of it or above is lost.
 2. Shared prefixes: in any one order of all shingles, two sets of similarity s or more share one of the
    first n - ceil(s * n) + 1 of the n shingles of either. Shingles that are common come last in the
    order (by their counts in an eighth of the texts; the order decides on cost only), so that a passage
-   in many texts is in few prefixes. Sets of one bucket (shingle) are first compared with a leader, and
+   in many texts is in few prefixes. Sets of one bucket (shingle) are first compared with a few leaders,
    then all pairs of a bucket that are still in different groups are compared. No bucket is cut.
 
 Verification has two steps. A set's bitmap has 4 to 8 bits a shingle; bits in which two bitmaps differ
@@ -38,8 +38,8 @@ from .simhash import _LOWER, _WORD, links, majority
 SIMILARITY, SHINGLE = 0.8, 5
 #: Bits in which the fingerprints of the first search may differ.
 MAX_DISTANCE = 2
-#: Rounds of leaders before all pairs that are left between different groups are compared.
-LEADER_ROUNDS = 1
+#: Leaders of a bucket in a round, and rounds, before all pairs that are left between different groups are compared. Cost only.
+LEADERS, LEADER_ROUNDS = 3, 1
 #: One text of so many is counted for the order; so many of the most common shingles are told from the rest. Cost only.
 ORDER_SHARE, ORDER_SHINGLES = 8, 100_000
 #: Words whose hashes a worker keeps.
@@ -210,10 +210,15 @@ def _mixed(rows: DataFrame, edges: DataFrame) -> DataFrame:
         return written(named.join(mixed, "token"), "mixed-rows", outlive=True)
 
 
-def _led(rows: DataFrame, salt: int) -> DataFrame:
-    """(token, p, n, pos, c) of each bucket's leader: one order for all buckets, so that those of a group of near copies share theirs."""
-    least = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("p", F.lit(salt)).alias("h"), "p", "n", "pos", "c")).alias("l"))
-    return written(least.select("token", "l.p", "l.n", "l.pos", "l.c"), "leaders")
+def _led(rows: DataFrame, start: int) -> DataFrame:
+    """(token, p, n, pos, c) of each bucket's leaders, the first in LEADERS orders: orders of all buckets, so that those of a group of near copies share theirs.
+
+    Rare shingles come first in a set, so the set with the fewest before the bucket's is the most central one: it leads in the first order.
+    """
+    order = lambda i: F.struct((F.lit(0) if i else F.col("pos")).alias("before"), F.xxhash64("p", F.lit(start + i)).alias("x"))
+    first = [F.min(F.struct(order(i).alias("h"), "p", "n", "pos", "c")).alias(f"l{i}") for i in range(LEADERS)]
+    each = rows.groupBy("token").agg(*first).select("token", F.explode(F.array_distinct(F.transform(F.array(*[f"l{i}" for i in range(LEADERS)]), lambda x: F.struct(*[x[c].alias(c) for c in ("p", "n", "pos", "c")])))).alias("l"))
+    return written(each.select("token", "l.*"), "leaders")
 
 
 def _edges(search: _Search) -> DataFrame:
@@ -222,8 +227,8 @@ def _edges(search: _Search) -> DataFrame:
         with passing(search.docs.sparkSession):
             rows = search.buckets()
         rows, edges, other = rows.withColumn("c", F.col("p")), None, F.col("a_c") != F.col("b_c")
-        for salt in range(LEADER_ROUNDS):
-            found = _paired(rows, _led(rows, salt), search.similarity, other)
+        for k in range(LEADER_ROUNDS):
+            found = _paired(rows, _led(rows, k * LEADERS), search.similarity, other)
             found = search.similar(found if edges is not None else found.union(search.by_fingerprint()))
             edges = found if edges is None else edges.union(found)
             rows = _mixed(rows, edges)
