@@ -189,3 +189,19 @@ def test_job_and_batch(spark, tmp_path):
     assert [c.label for c in summary.charts] == ["2024-01", "2024-02"] and summary.findings[0].label == "2024-02"
     write_table(spark.range(2), str(tmp_path / "t.parquet"))
     assert read_table(spark, str(tmp_path / "t.parquet")).count() == 2
+
+
+def test_first_occurrence_with_gaps_and_ties(spark):
+    rows = [(1, "a", None, 1), (2, "a", "2024-01-02", 2), (3, "a", "2024-01-02", 1), (4, "b", None, 1), (5, None, "2024-01-01", 1), (6, "c", "2024-01-01", None), (7, "c", "2024-01-01", 3), (8, "d", "2024-05-01", 7), (9, "d", "2024-05-01", 7)]
+    df = spark.createDataFrame(rows, "i int, who string, day string, tie int")
+    out = metrics.first_occurrence(df, "who", "day", "tie")
+    assert out.count() == len(rows) and {r.i for r in out.where("is_first").collect()} == {3, 6, 8, 9}
+
+
+def test_csv_fields_over_lines_and_folders(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('day,note\n2024-01-01,"one\ntwo"\n')
+    (tmp_path / "a.csv").write_text("day,note\n2024-01-01,x\n")
+    (tmp_path / "c.txt").write_text("day\n")
+    assert [r.note for r in read_table(spark, str(tmp_path / "b.csv"), multi_line=True).collect()] == ["one\ntwo"]
+    assert [p.rsplit("/", 1)[1] for p in jobs.tables_in(spark, str(tmp_path))] == ["a.csv", "b.csv"]
+    assert [r.table for r in jobs.batch(spark, str(tmp_path), str(tmp_path / "out")).collect()] == ["a.csv", "b.csv"]

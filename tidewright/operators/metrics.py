@@ -123,10 +123,15 @@ def date_range(df: DataFrame, date: str) -> DataFrame:
 
 
 def first_occurrence(df: DataFrame, entity: str, date: str, tie: str) -> DataFrame:
-    """df with is_first: the entity's first row by date, then by tie. The firsts are found by partial aggregation, so that a large entity fills no window."""
-    first = df.where(col(entity).isNotNull()).groupBy(col(entity).alias("entity_")).agg(F.min(F.struct(dt(df, date).alias("d"), col(tie).alias("t"))).alias("first_"))
+    """df with is_first: the entity's first row by date, then by tie. The firsts are found by partial aggregation, so that a large entity fills no window.
+
+    Rows without a date, or without an entity, are never first; a missing tie comes before all others. The tie should tell
+    rows of one date apart: rows that are equal in entity, date and tie are first together.
+    """
+    dated = df.where(col(entity).isNotNull() & dt(df, date).isNotNull())
+    first = dated.groupBy(col(entity).alias("entity_")).agg(F.min(F.struct(dt(df, date).alias("d"), col(tie).alias("t"))).alias("first_"))
     joined = df.join(first, col(entity) == F.col("entity_"), "left")
-    same = (dt(df, date) == F.col("first_.d")) & (col(tie) == F.col("first_.t"))
+    same = (dt(df, date) == F.col("first_.d")) & col(tie).eqNullSafe(F.col("first_.t"))
     return joined.withColumn("is_first", F.coalesce(same, F.lit(False))).drop("entity_", "first_")
 
 

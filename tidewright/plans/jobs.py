@@ -64,10 +64,17 @@ def save(result: JobResult, folder: str) -> None:
 _MANIFEST = "table string, status string, error string, rows_in bigint, rows_out bigint"
 
 
-def batch(spark: SparkSession, paths: list[str], out: str, schema_plan: dict | None = None, kpi_plan: dict | None = None) -> DataFrame:
-    """Each table in sorted order, one job each; a failure is a row of the manifest and the others go on."""
+def tables_in(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
+    """The paths of a folder's tables of that suffix, in order; any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in listed if f.getPath().getName().lower().endswith(suffix))
+
+
+def batch(spark: SparkSession, paths: list[str] | str, out: str, schema_plan: dict | None = None, kpi_plan: dict | None = None) -> DataFrame:
+    """Each table in sorted order, one job each; a failure is a row of the manifest and the others go on. A folder stands for its CSV tables."""
     rows = []
-    for path in sorted(paths):
+    for path in tables_in(spark, paths) if isinstance(paths, str) else sorted(paths):
         name = path.rstrip("/").rsplit("/", 1)[-1]
         try:
             df = read_table(spark, path)

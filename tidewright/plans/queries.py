@@ -509,6 +509,13 @@ def first_purchase(spark, sf_dir):
     return metrics.first_occurrence(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "is_first")
 
 
+@query("SELECT o_orderkey, o_custkey, coalesce(o_orderdate IS NOT NULL AND row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST, o_orderkey) = 1, false) AS is_first FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS o_orderdate FROM orders)")
+def first_purchase_gaps(spark, sf_dir):
+    """Orders without a date are never first."""
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")))
+    return metrics.first_occurrence(orders, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "is_first")
+
+
 @query("SELECT o_custkey AS entity, strftime(max(o_orderdate), '%Y-%m-%d') AS last, floor((epoch_us(TIMESTAMP '2025-01-01') - epoch_us(max(o_orderdate))) / 86400e6) AS days_since FROM orders GROUP BY 1")
 def recency(spark, sf_dir):
     return metrics.recency(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "2025-01-01").withColumn("last", F.date_format("last", "yyyy-MM-dd"))

@@ -14,14 +14,17 @@ def trim_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """The table at path, by its suffix; CSV has a header line and is read as text. An unknown suffix is refused."""
+def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """The table at path, by its suffix; CSV has a header line and is read as text. An unknown suffix is refused.
+
+    multi_line: quoted CSV fields may hold line breaks; such a file can't be split, so that one task reads it whole.
+    """
     kind = _READERS.get(path.rstrip("/").rsplit(".", 1)[-1].lower())
     if kind is None:
         raise ValueError(f"{path}: csv, txt, parquet, json, jsonl and orc can be read")
     reader = spark.read
     if kind == "csv":
-        reader = reader.options(header=True, encoding=encoding, multiLine=True, escape='"')
+        reader = reader.options(header=True, encoding=encoding, multiLine=multi_line, escape='"')
     return nan_to_null(trim_header(reader.format(kind).load(path)))
 
 
