@@ -62,11 +62,13 @@ def scan(docs: DataFrame, known: DataFrame, keep: list[str], text: str = "text")
     def taken(size: int) -> Column:
         starts = F.expr(f"if(size(w) >= {size}, sequence(1, size(w) - {size} + 1), cast(array() as array<int>))")
 
-        def seen(i: Column) -> Column:
-            h = F.xxhash64(F.slice("w", i, size))
-            return F.get(bits, h.bitwiseAND(F.lit(words - 1)).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))) != 0
+        def seen(x: Column) -> Column:
+            at, bit = x["h"].bitwiseAND(F.lit(words - 1)).cast("int"), F.shiftrightunsigned(x["h"], 58).cast("int")
+            return F.get(bits, at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)) != 0
 
-        return F.transform(F.filter(starts, seen), lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", i, size)).alias("window")))
+        # the hash is kept beside its position, since a lambda would compute it anew for every use
+        hashed = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("w", i, size)).alias("h")))
+        return F.transform(F.filter(hashed, seen), lambda x: F.struct(x["pos"].alias("pos"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", x["pos"], size)).alias("window")))
 
     empty = F.array().cast("array<struct<pos:int,size:int,window:string>>")
     worded = docs.select(*keep, words_of(F.col(text)).alias("w"))
