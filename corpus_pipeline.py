@@ -9,27 +9,27 @@ from tidewright.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the line labels reject go."""
+    """Documents that the rules or the line labels reject go, null and empty texts among them; repeated rows are judged alike."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on too large a share of their source's pages go; documents stay. n_chars stays the original's."""
+    """Lines on too large a share of their source's pages go; documents stay, null texts as they are. n_chars stays the original's."""
     return line_dedup.drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id."""
+    """One document of each group stays, that of the smallest id (nulls last); several texts under one id are several documents."""
     return similar.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; null and empty texts hold none."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: token counts and digests of the ids and of the text they decode to."""
+    """Per row: token counts and digests of the ids and of the text they decode to; null texts are empty. Empty tables pass through all stages."""
     return bpe.digests(docs)
 
 
