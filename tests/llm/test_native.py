@@ -65,6 +65,29 @@ def test_battery_p_values(spark):
     assert all(r.p < 0.01 for r in secrets.battery(spark.createDataFrame([(t,) for t in bad], "token string")).collect())
 
 
+def test_reported_tokens_are_random(spark, sf):
+    """Tokens planted into the documents: of those reported few are text, and long random ones are found."""
+    rng = random.Random(3)
+    docs = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    words = [w for d in docs for w in d.split() if w.isalpha() and w.isascii() and len(w) < 12]
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    made = [
+        lambda i: key(string.ascii_letters + string.digits + "+/", 44), lambda i: "".join(w.capitalize() for w in rng.sample(words, 9))[:44],
+        lambda i: key(string.ascii_lowercase + string.digits, 48), lambda i: "_".join(rng.sample(words, 6)) + str(i), lambda i: "".join(rng.sample(words, 8)).lower(),
+    ]
+    rows = [(i, f"{d[:3000]} see {token} there", token) for i, d in enumerate(docs) for token in [made[i % 5](i)]]
+    out = {r.doc_id: r.random for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, token string")).collect()}
+    found = [any(text[s.start : s.end].rstrip("=") == token for s in out[i]) for i, text, token in rows]
+    right, wrong = sum(x for i, x in enumerate(found) if i % 5 in (0, 2)), sum(x for i, x in enumerate(found) if i % 5 not in (0, 2))
+    assert right >= 0.8 * len(rows) * 2 / 5 and wrong <= 0.1 * (right + wrong)
+
+
+def test_spans_over_many_blocks(spark):
+    texts = ["token=abcdef12 é" * 1000, "é " * 300 + "a" * 30, ""]
+    got = [r.base for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert [sorted(tuple(s) for s in base) for base in got] == [slow_base(t) for t in texts]
+
+
 def slow_lines(rows):
     pages = {}
     for host, text in {(h, t) for _, h, t in rows if t is not None}:
