@@ -203,6 +203,12 @@ def compute(df: DataFrame, specs: list[dict]) -> KpiResult:
             else:
                 raise ValueError(f"unsupported formula_type {kind}")
             out.metadata[name] = {"type": spec.get("visual") or kind, "x": spec.get("group_by") or spec.get("x_column") or spec.get("column"), "y": spec.get("value_column") or spec.get("y_column"), "aggregation": kind}
+            if kind in (*GROUP_TYPES, "heatmap"):
+                out.metadata[name]["top_n"] = top_n(spec)
+            if kind == "histogram":
+                out.metadata[name]["bins"] = int(spec.get("bins") or DEFAULT_BINS)
+            if kind == "heatmap":
+                out.metadata[name] |= {"y": spec["y_column"], "value": spec.get("value_column"), "aggregation": spec.get("aggregation") or "count"}
         except Exception as e:
             out.errors.append({"name": name, "formula_type": kind, "error": str(e).splitlines()[0]})
     out.cards = cards(df, plain)

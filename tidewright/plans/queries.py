@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.coerce import num
 from ..functions.formula import derive as formula
 from ..functions import coerce
+from ..functions.formula import check_formula
 from ..operators import charts, checks, clean, derive, kpi, metrics, profile, roles
+from ..sources import io
+from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -570,3 +575,120 @@ FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN o_cust
 def compact_numbers(spark, sf_dir):
     v = F.expr("CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN o_custkey * 1e6D WHEN 2 THEN o_custkey * 1e9D ELSE o_custkey + 0.5D END")
     return table(spark, sf_dir, "orders").select("o_orderkey", charts.compact(v).alias("shown"))
+
+
+# --- sources, jobs and logs ---------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; in local mode a temporary one stands for it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, count(*) AS n, sum(c_custkey)::BIGINT AS keys, round(sum(c_acctbal), 2) AS balance, count(DISTINCT c_name) AS names FROM customer" for kind in ("csv", "json", "orc", "parquet")))
+def read_write(spark, sf_dir):
+    """A table through every format; the CSV header has white space, which reading takes off."""
+    folder, customers = _folder(spark), table(spark, sf_dir, "customer")
+    totals = []
+    for kind in ("csv", "json", "orc", "parquet"):
+        spaced = customers.select(*[F.col(c).alias(f" {c} " if kind == "csv" else c) for c in ("c_custkey", "c_name", "c_acctbal")])
+        io.write_table(spaced, f"{folder}/customer.{kind}", kind)
+        back = io.read_table(spark, f"{folder}/customer.{kind}")
+        totals.append(back.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(F.col("c_custkey").cast("long")).alias("keys"), F.round(F.sum(F.col("c_acctbal").cast("double")), 2).alias("balance"), F.count_distinct("c_name").alias("names")))
+    return totals[0].union(totals[1]).union(totals[2]).union(totals[3])
+
+
+@query("SELECT o_orderstatus AS key, count(*)::DOUBLE AS value FROM orders GROUP BY 1")
+def write_results(spark, sf_dir):
+    """An aggregate as JSON lines, read back."""
+    path = f"{_folder(spark)}/status.json"
+    io.write_json(kpi.grouped_chart(table(spark, sf_dir, "orders"), {"formula_type": "group_count", "group_by": "o_orderstatus"}).select("key", "value"), path)
+    return io.read_table(spark, path)
+
+
+@query("SELECT 'customer.csv' AS \"table\", 'succeeded' AS status, count(*) AS rows_in, (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS rows_out FROM customer UNION ALL SELECT 'supplier.csv', 'succeeded', count(*), (SELECT count(*) FROM (SELECT DISTINCT * FROM supplier)) FROM supplier")
+def batch_folder(spark, sf_dir):
+    """A job for each CSV table of a folder."""
+    folder = _folder(spark)
+    for name in ("customer", "supplier"):
+        io.write_table(table(spark, sf_dir, name), f"{folder}/in/{name}.csv", "csv")
+    return jobs.batch(spark, f"{folder}/in", f"{folder}/out").select("table", "status", "rows_in", "rows_out")
+
+
+_DIRTY = "(SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 10 END AS code, CASE WHEN o_orderkey % 7 <> 0 THEN ' ' || (o_orderkey % 11)::VARCHAR END AS amount FROM orders)"
+
+
+@query(f"""SELECT 'original_rows' AS action, count(*) AS rows, NULL AS columns FROM {_DIRTY}
+UNION ALL SELECT 'empty_rows_removed', count(*), NULL FROM {_DIRTY} WHERE code IS NULL AND amount IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'repeated_rows_removed', count(*) - count(DISTINCT (code, amount)), NULL FROM {_DIRTY} WHERE code IS NOT NULL HAVING count(*) > count(DISTINCT (code, amount))
+UNION ALL SELECT 'text_trimmed', NULL, 'amount'
+UNION ALL SELECT 'converted_to_number', NULL, 'amount' FROM {_DIRTY} WHERE code IS NOT NULL HAVING avg((try_cast(trim(amount) AS DOUBLE) IS NOT NULL)::INT) >= 0.9
+UNION ALL SELECT 'final_rows', count(DISTINCT (code, amount)), NULL FROM {_DIRTY} WHERE code IS NOT NULL""")
+def cleaning_log(spark, sf_dir):
+    kept = F.col("o_orderkey") % 7 != 0
+    df = table(spark, sf_dir, "orders").select(F.when(kept, F.col("o_custkey") % 10).alias("code"), F.when(kept, F.concat(F.lit(" "), F.col("o_orderkey") % 11)).alias("amount"))
+    return clean.clean(df).log.withColumn("columns", F.array_join("columns", ","))
+
+
+_RENAMES = [("o_totalprice", "price"), ("o_missing", "gone"), ("o_orderstatus", "o_custkey")]
+
+
+@query("SELECT old AS item, CASE WHEN old NOT IN (SELECT column_name FROM (DESCRIBE orders)) OR new IN (SELECT column_name FROM (DESCRIBE orders)) THEN 'rejected' ELSE 'applied' END AS status, (SELECT count(*) FROM orders) AS n FROM (VALUES " + ", ".join(map(str, _RENAMES)) + ") t(old, new)")
+def derive_log(spark, sf_dir):
+    """What a plan's renames came to, with the rows of the table that they leave."""
+    out, log = derive.apply_schema(table(spark, sf_dir, "orders"), {"rename_columns": [{"old_name": a, "new_name": b} for a, b in _RENAMES]})
+    return log.toDF("action", "item", "status", "reason").select("item", "status", F.lit(out.count()).alias("n"))
+
+
+_FORMULAS = [("abs(o_totalprice)", "abs", "o_totalprice"), ("sqrt(o_custkey)", "sqrt", "o_custkey"), ("abs(o_missing)", "abs", "o_missing"), ("open(o_totalprice)", "open", "o_totalprice")]
+
+
+@query("SELECT formula, f IN ('abs', 'sqrt', 'log', 'round') AND c IN (SELECT column_name FROM (DESCRIBE orders)) AS valid, CASE WHEN f IN ('abs', 'sqrt', 'log', 'round') AND c IN (SELECT column_name FROM (DESCRIBE orders)) THEN CASE c WHEN 'o_totalprice' THEN (SELECT count(o_totalprice) FROM orders) ELSE (SELECT count(o_custkey) FROM orders) END END AS n FROM (VALUES " + ", ".join(map(str, _FORMULAS)) + ") t(formula, f, c)")
+def formula_checks(spark, sf_dir):
+    """Which formulas are valid for the table, and the values that the valid ones give."""
+    orders = table(spark, sf_dir, "orders")
+    out = None
+    for text, _, _ in _FORMULAS:
+        valid = check_formula(orders, text) is None
+        made = formula(orders, "v", text) if valid else orders.withColumn("v", F.lit(None))
+        row = made.agg(F.lit(text).alias("formula"), F.lit(valid).alias("valid"), (F.count("v") if valid else F.lit(None).cast("bigint")).alias("n"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT 'orders by {c}' AS name, CASE WHEN count(DISTINCT {c}) > 6 THEN 'horizontal_bar_chart' ELSE 'pie_chart' END AS visual FROM orders" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")))
+def visual_repair(spark, sf_dir):
+    """Pies of too many parts become bars."""
+    plan = {"kpis": [{"name": f"orders by {c}", "formula_type": "group_count", "group_by": c, "visual": "pie_chart"} for c in ("o_orderstatus", "o_orderpriority", "o_custkey")]}
+    accepted, _ = checks.check_kpis(table(spark, sf_dir, "orders"), plan)
+    return spark.createDataFrame([(k["name"], k["visual"]) for k in accepted["kpis"]], "name string, visual string")
+
+
+@query(" UNION ALL ".join(f"SELECT 'm_{c}' AS item, CASE WHEN avg((try_cast({c} AS DOUBLE) IS NOT NULL)::INT) >= 0.75 THEN 'accepted' ELSE 'rejected' END AS status FROM orders" for c in ("o_totalprice", "o_custkey", "o_orderstatus")))
+def schema_checks(spark, sf_dir):
+    """Products need numeric columns."""
+    plan = {"derived_columns": [{"new_column": f"m_{c}", "formula_type": "multiply", "input_columns": [c, "o_totalprice"]} for c in ("o_totalprice", "o_custkey", "o_orderstatus")]}
+    return checks.check_schema(table(spark, sf_dir, "orders"), plan)[1].select("item", "status")
+
+
+_JOB = {"kpis": [{"name": "sales", "formula_type": "sum", "column": "o_totalprice"}, {"name": "by status", "formula_type": "group_sum", "group_by": "o_orderstatus", "value_column": "o_totalprice", "visual": "bar_chart"}]}
+
+
+@query("SELECT count(*) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS rows_after, round(sum(o_totalprice), 0) AS sales, (SELECT max_by(o_orderstatus, v) FROM (SELECT o_orderstatus, sum(o_totalprice) AS v FROM orders GROUP BY 1)) AS best FROM orders")
+def report_summary(spark, sf_dir):
+    """A whole job over orders: its summary's counts, its card and its first finding."""
+    summary = jobs.run(table(spark, sf_dir, "orders"), {}, _JOB).summary
+    return summary.select("rows_before", "rows_after", F.round(F.col("kpis")[0]["value"], 0).alias("sales"), F.col("findings")[0]["label"].alias("best"))
+
+
+@query("SELECT 'by status' AS name, 'bar_chart' AS type, 'o_orderstatus' AS x, 'group_sum' AS aggregation, count(DISTINCT o_orderstatus) AS points FROM orders")
+def chart_metadata(spark, sf_dir):
+    """What a chart says of itself, with its number of points."""
+    made = kpi.compute(table(spark, sf_dir, "orders"), _JOB["kpis"])
+    about = made.metadata["by status"]
+    return made.charts["by status"].agg(F.lit("by status").alias("name"), *[F.lit(about[k]).alias(k) for k in ("type", "x", "aggregation")], F.count("*").alias("points"))
