@@ -205,3 +205,14 @@ def test_csv_fields_over_lines_and_folders(spark, tmp_path):
     assert [r.note for r in read_table(spark, str(tmp_path / "b.csv"), multi_line=True).collect()] == ["one\ntwo"]
     assert [p.rsplit("/", 1)[1] for p in jobs.tables_in(spark, str(tmp_path))] == ["a.csv", "b.csv"]
     assert [r.table for r in jobs.batch(spark, str(tmp_path), str(tmp_path / "out")).collect()] == ["a.csv", "b.csv"]
+
+
+def test_chart_metadata_names_limits_and_values(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0)], "k string, c string, v double")
+    specs = [
+        {"name": "g", "formula_type": "group_sum", "group_by": "k", "value_column": "v", "top_n": 3, "visual": "bar_chart"}, {"name": "h", "formula_type": "histogram", "column": "v", "bins": 4},
+        {"name": "m", "formula_type": "heatmap", "x_column": "k", "y_column": "c", "value_column": "v", "aggregation": "sum"},
+    ]
+    about = kpi.compute(df, specs).metadata
+    assert about["g"]["top_n"] == 3 and about["h"]["bins"] == 4
+    assert (about["m"]["x"], about["m"]["y"], about["m"]["value"], about["m"]["aggregation"]) == ("k", "c", "v", "sum")
