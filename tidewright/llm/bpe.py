@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, slices, table, written
+from .common import alone, col, slices, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words, and pieces between spaces, of one generation of a worker's memos, and the longest ones that they keep. Cost only.
@@ -171,6 +171,7 @@ _OPEN: dict[int, ForcedBoundaryBPE] = {}
 
 def opened(spec: str) -> ForcedBoundaryBPE:
     """The worker's encoder of that vocabulary, with its memo."""
+    alone("bpe", _OPEN.clear)
     key = hash(spec)
     if key not in _OPEN:
         _OPEN.clear()

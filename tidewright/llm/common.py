@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths of the innermost scope of intermediates, and the scope around it.
 _SCOPE: ContextVar[tuple | None] = ContextVar("scope", default=None)
+#: In a Python worker: the operator whose memos it keeps, and how they are dropped.
+_HOLDER: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +112,17 @@ def slices(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
             yield batch.slice(i, rows)
 
 
+def alone(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called where a task begins in a Python worker. Workers are reused: what another operator keeps in the process goes first."""
+    if _HOLDER and owner not in _HOLDER:
+        for drop in _HOLDER.values():
+            drop()
+        _HOLDER.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _HOLDER[owner] = forget
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have in any letter case."""
     taken = {c.lower() for c in df.columns}

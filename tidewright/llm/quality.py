@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, free_name, slices, table, written
+from .common import alone, col, free_name, slices, table, written
 from .crf import LinearChainCRF
 
 #: Labelled documents of either kind that the model is fitted on, at most.
@@ -137,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chosen = known.where("quality = 0").orderBy(*order).limit(limit).union(known.where("quality = 1").orderBy(*order).limit(limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("quality")
         for batch in slices(batches):
             rows = [_training_rows(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([d.tobytes() for _, d in rows], pa.binary())], names=["h", "quality", "rows", "digests"])
@@ -179,6 +180,7 @@ def judge(docs: DataFrame, model: LinearChainCRF | None, name: str, text: str =
     names = [f.split()[0] for f in _RESULT.split(", ")]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        alone("quality")
         for batch in slices(batches):
             rows = [judge_text(t, model) for t in batch.to_pylist()]
             columns = zip(*rows) if rows else [[]] * len(names)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, passing, slices, table, written
+from .common import alone, col, passing, slices, table, written
 from .components import connected_components
 
 BITS = 64
@@ -74,6 +74,7 @@ def with_fingerprints(docs: DataFrame, name: str, text: str = "text", shingle: i
     """docs with the column `name` (bigint): the fingerprint's 64 bits."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        alone("simhash")
         for batch in slices(batches):
             yield pa.array(np.array([fingerprint(t, shingle) for t in batch.to_pylist()], dtype=np.uint64).view(np.int64))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, passing, row_key, slices, written
+from .common import alone, col, free_name, passing, row_key, slices, written
 from .components import connected_components
 from .simhash import _LOWER, _WORD, links, majority
 
@@ -60,6 +60,10 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def _begin() -> None:
+    alone("similar", _HASHES.clear)
+
+
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The hashes of the text's different shingles in ascending order: those of the words, mixed in turn."""
     words = _WORD.findall(text) if text else []
@@ -103,6 +107,7 @@ def _arrow_struct(docs: DataFrame, fields: dict[str, str], make) -> DataFrame:
     """docs with the struct f of the given fields (name: type) of column text."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _begin()
         for batch in slices(batches):
             columns = make(batch.to_pylist())
             yield pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, {"int": pa.int32(), "bigint": pa.int64()}[kind]) for c, kind in zip(columns, fields.values())], list(fields))
