@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import col, dt, is_date, num
 from ..functions.formula import check_formula
 from . import derive as derived
 from .kpi import CARD_TYPES, GROUP_TYPES
+from .profile import distinct_counts, value_bytes
 
 # Thresholds and vocabularies of the plan checks.
 NUMBER_SHARE, DATE_SHARE = 0.80, 0.70
@@ -30,35 +31,49 @@ def safe_name(name: object) -> bool:
 
 @dataclass(frozen=True)
 class Facts:
-    """Shares of all rows that are numbers, of non-null values that are dates, and different values (exact near a threshold)."""
+    """Shares of all rows that are numbers, of non-null values that are dates, and different values (exact up to a thousand)."""
 
     number_share: float
     date_share: float
     distinct: int
 
 
-def column_facts(df: DataFrame, columns: list[str], near: float = 0.1) -> dict[str, Facts]:
-    """Facts of the columns from one pass; distinct counts near a threshold are then counted exactly."""
+#: Binary logarithm of the digests that a sketch of different values keeps: counts up to that many are exact, larger ones within a few hundredths.
+_SKETCH = 10
+
+
+def _few_distinct(df: DataFrame, name: str) -> Column:
+    """Different values: exact up to 2 ** _SKETCH, which is far above every threshold; memory stays bounded however many there are."""
+    return F.theta_sketch_estimate(F.theta_sketch_agg(F.when(col(name).isNotNull(), F.concat(F.lit("v").cast("binary"), value_bytes(df, name))), _SKETCH))
+
+
+def _shares(df: DataFrame, name: str) -> tuple[Column, Column]:
+    dates = F.lit(1.0) if is_date(df.schema[name].dataType) else F.coalesce(F.avg(F.when(col(name).isNotNull(), dt(df, name).isNotNull().cast("double"))), F.lit(0.0))
+    return F.coalesce(F.avg(num(df, name).isNotNull().cast("double")), F.lit(0.0)), dates
+
+
+def column_facts(df: DataFrame, columns: list[str]) -> dict[str, Facts]:
+    """Facts of the columns from one pass."""
     names = [c for c in dict.fromkeys(columns) if c in df.columns]
     if not names:
         return {}
     aggs = []
     for i, c in enumerate(names):
-        aggs += [F.avg(num(df, c).isNotNull().cast("double")).alias(f"n{i}"), F.avg(F.when(col(c).isNotNull(), dt(df, c).isNotNull().cast("double"))).alias(f"d{i}"), F.approx_count_distinct(col(c), 0.02).alias(f"u{i}")]
+        numbers, dates = _shares(df, c)
+        aggs += [numbers.alias(f"n{i}"), dates.alias(f"d{i}"), _few_distinct(df, c).alias(f"u{i}")]
     row = df.agg(*aggs).first()
-    close = [c for i, c in enumerate(names) if any(abs(row[f"u{i}"] - t) <= max(2, near * t) for t in (HIGH_CARDINALITY, PIE_CARDINALITY))]
-    exact = {c: df.select(col(c)).where(col(c).isNotNull()).distinct().limit(HIGH_CARDINALITY + 2).count() for c in close}
-    return {c: Facts(row[f"n{i}"] or 0.0, 1.0 if is_date(df.schema[c].dataType) else row[f"d{i}"] or 0.0, exact.get(c, row[f"u{i}"])) for i, c in enumerate(names)}
+    return {c: Facts(row[f"n{i}"], row[f"d{i}"], row[f"u{i}"]) for i, c in enumerate(names)}
 
 
 def facts_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, number_share, is_numeric, date_share, is_datetime, distinct, high_cardinality): the facts as one lazy pass, distinct counted exactly."""
+    """(name, number_share, is_numeric, date_share, is_datetime, distinct, high_cardinality): one pass for the shares, one shuffle of digests for exact counts of different values."""
     aggs = []
     for i, c in enumerate(columns):
-        dates = F.lit(1.0) if is_date(df.schema[c].dataType) else F.coalesce(F.avg(F.when(col(c).isNotNull(), dt(df, c).isNotNull().cast("double"))), F.lit(0.0))
-        aggs += [F.coalesce(F.avg(num(df, c).isNotNull().cast("double")), F.lit(0.0)).alias(f"n{i}"), dates.alias(f"d{i}"), F.count_distinct(col(c)).alias(f"u{i}")]
-    items = [F.struct(F.lit(c).alias("name"), F.col(f"n{i}").alias("number_share"), F.col(f"d{i}").alias("date_share"), F.col(f"u{i}").alias("distinct")) for i, c in enumerate(columns)]
-    rows = df.agg(*aggs).select(F.inline(F.array(*items)))
+        numbers, dates = _shares(df, c)
+        aggs += [numbers.alias(f"n{i}"), dates.alias(f"d{i}")]
+    items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(f"n{i}").alias("number_share"), F.col(f"d{i}").alias("date_share")) for i, c in enumerate(columns)]
+    rows = df.agg(*aggs).select(F.inline(F.array(*items))).join(F.broadcast(distinct_counts(df.select(*map(col, columns)))), "position", "left")
+    rows = rows.select("name", "number_share", "date_share", F.coalesce("unique", F.lit(0)).alias("distinct"))
     return rows.withColumns({"is_numeric": F.col("number_share") >= NUMBER_SHARE, "is_datetime": F.col("date_share") >= DATE_SHARE, "high_cardinality": F.col("distinct") > HIGH_CARDINALITY})
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import col, dt, nan_to_null, num
+from ..functions.coerce import col, dt, nan_to_null, num, number_of, timestamp_of, without_space
+from ..sources.scratch import stored
 
 # Texts that stand for nothing, and shares of all rows that must parse.
 NULL_TEXTS = ["nan", "None", ""]
@@ -29,7 +31,7 @@ def drop_repeated_rows(df: DataFrame) -> DataFrame:
 
 
 def trimmed(c: Column) -> Column:
-    text = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    text = without_space(c)
     return F.when(~text.isin(NULL_TEXTS), text)
 
 
@@ -62,19 +64,38 @@ def convert(df: DataFrame, plan: dict[str, str]) -> DataFrame:
 class Cleaned:
     table: DataFrame
     log: DataFrame
+    rows_before: int
+    rows_after: int
 
 
 def clean(df: DataFrame) -> Cleaned:
-    """Empty rows, then repeated rows, then trimming, then conversion. The log has a row an action; steps that removed nothing are left out."""
-    spark = df.sparkSession
-    filled = drop_empty_rows(df)
-    unique = drop_repeated_rows(filled)
-    tidy = trim_text(unique).persist()
-    plan = conversions(tidy)
-    before, full, left = df.count(), filled.count(), tidy.count()
-    log = [("original_rows", before, None)]
-    log += [(what, n, None) for what, n in (("empty_rows_removed", before - full), ("repeated_rows_removed", full - left)) if n]
-    log.append(("text_trimmed", None, text_columns(df)))
-    log += [(f"converted_to_{kind}", None, names) for kind in ("number", "datetime") if (names := [c for c, k in plan.items() if k == kind])]
-    log.append(("final_rows", left, None))
-    return Cleaned(convert(tidy, plan), spark.createDataFrame(log, "action string, rows bigint, columns array<string>"))
+    """Empty rows, then repeated rows, then trimming, then conversion. The log has a row an action; steps that removed nothing are left out.
+
+    The source is read once and whole rows are shuffled once: equal rows meet with their number, from which all counts
+    follow. Each text is trimmed and parsed once, for the decision and for the conversion. The result is a table.
+    """
+    spark, names = df.sparkSession, df.columns
+    texts = text_columns(df)
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    rows = nan_to_null(df).toDF(*at.values())
+    counted = rows.groupBy(*at.values()).agg(F.count("*").alias("copies"))
+    filled = reduce(Column.__or__, [F.col(c).isNotNull() for c in at.values()])
+    tidy = counted.select(*[trimmed(F.col(at[c])).alias(at[c]) if c in texts else F.col(at[c]) for c in names], "copies", filled.alias("filled"))
+    parsed = stored(tidy.withColumns({f"n{at[c]}": number_of(F.col(at[c])) for c in texts} | {f"d{at[c]}": timestamp_of(F.col(at[c])) for c in texts}), "tidy")
+    kept = parsed.where("filled")
+    rates = [F.avg(F.col(f"{kind}{at[c]}").isNotNull().cast("double")).alias(f"{kind}{at[c]}") for c in texts for kind in "nd"]
+    total = parsed.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(~F.col("filled"), F.col("copies"))), F.lit(0)).alias("empty")).first()
+    row = kept.agg(F.count("*").alias("left"), *rates).first()
+    plan = {}
+    for c in texts:
+        if (row[f"n{at[c]}"] or 0) >= NUMBER_SHARE:
+            plan[c] = "number"
+        elif (row[f"d{at[c]}"] or 0) >= DATE_SHARE:
+            plan[c] = "datetime"
+    log = [("original_rows", total["all"], None)]
+    log += [(what, n, None) for what, n in (("empty_rows_removed", total["empty"]), ("repeated_rows_removed", total["all"] - total["empty"] - row["left"])) if n]
+    log.append(("text_trimmed", None, texts))
+    log += [(f"converted_to_{kind}", None, found) for kind in ("number", "datetime") if (found := [c for c, k in plan.items() if k == kind])]
+    log.append(("final_rows", row["left"], None))
+    table = kept.select(*[F.col({"number": "n", "datetime": "d"}.get(plan.get(c), "") + at[c]).alias(c) for c in names])
+    return Cleaned(table, spark.createDataFrame(log, "action string, rows bigint, columns array<string>"), total["all"], row["left"])

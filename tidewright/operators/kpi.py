@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import col, label, num
 from ..functions.formula import compile_formula
+from ..sources.scratch import stored
+from .profile import value_bytes
 
 # Limits and names of visuals.
 DEFAULT_TOP = 20
@@ -62,13 +64,31 @@ def card(df: DataFrame, spec: dict) -> Column:
     return aggregate(kind, num(df, name), where)
 
 
+_CARD = "title string, value double, format string"
+
+
 def cards(df: DataFrame, specs: list[dict]) -> DataFrame:
-    """(title, value, format): all cards from one pass over df."""
-    if not specs:
-        return df.sparkSession.createDataFrame([], "title string, value double, format string")
-    row = df.agg(*[card(df, s).alias(f"c{i}") for i, s in enumerate(specs)])
-    items = F.array(*[F.struct(F.lit(s["name"]).alias("title"), F.col(f"c{i}").alias("value"), F.lit(s.get("format", "number")).alias("format")) for i, s in enumerate(specs)])
-    return row.select(F.inline(items))
+    """(title, value, format): all cards from one pass over df, exact distinct counts from another, whose values go through one shuffle as digests."""
+    distinct = [s for s in specs if s["formula_type"] == "count_distinct" and not s.get("approx")]
+    plain = [s for s in specs if s not in distinct]
+    out = df.sparkSession.createDataFrame([], _CARD)
+    if plain:
+        row = df.agg(*[card(df, s).alias(f"c{i}") for i, s in enumerate(plain)])
+        out = row.select(F.inline(F.array(*[F.struct(F.lit(s["name"]).alias("title"), F.col(f"c{i}").alias("value"), F.lit(s.get("format", "number")).alias("format")) for i, s in enumerate(plain)])))
+    if distinct:
+        out = out.union(_distinct_cards(df, distinct)) if plain else _distinct_cards(df, distinct)
+    return out
+
+
+def _distinct_cards(df: DataFrame, specs: list[dict]) -> DataFrame:
+    cells = []
+    for i, s in enumerate(specs):
+        where, there = _condition(df, s), col(s["column"]).isNotNull()
+        cells.append(F.when(there if where is None else there & where, F.struct(F.lit(i).alias("card"), F.unhex(F.md5(value_bytes(df, s["column"]))).alias("digest"))))
+    values = df.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("c.*").distinct()
+    counts = values.groupBy("card").agg(F.count("*").cast("double").alias("n"))
+    named = df.sparkSession.createDataFrame([(i, s["name"], s.get("format", "number")) for i, s in enumerate(specs)], "card int, title string, format string")
+    return named.join(F.broadcast(counts), "card", "left").select("title", F.coalesce("n", F.lit(0.0)).alias("value"), "format")
 
 
 def top_n(spec: dict) -> int:
@@ -104,12 +124,45 @@ def measure(df: DataFrame, spec: dict) -> Column:
     return aggregate("count", where=where) if kind == "count" else aggregate(kind, num(df, spec["value_column"]), where, spec.get("approx", False))
 
 
+def grouped_sets(df: DataFrame, by_key: dict[str, list[dict]]) -> dict[str, list[DataFrame]]:
+    """For each key its charts' rows (key, value), one for each grouped spec, all from one scan and one shuffle of df.
+
+    A row becomes one (key, its values) for each key; values of all keys share slots, so that a slot is aggregated once
+    for each kind asked of it. Partial aggregates go through the shuffle. The groups are one table.
+    """
+    keys, slots, kinds = list(by_key), max(map(len, by_key.values())), set()
+    types = [df.schema[k].dataType for k in keys]
+    sets = []
+    for i, key in enumerate(keys):
+        specs = by_key[key]
+        fields = [F.lit(i).alias("set")] + [(_key(df, key) if j == i else F.lit(None)).cast(t).alias(f"k{j}") for j, t in enumerate(types)]
+        sets.append(F.struct(*fields, *[(_input(df, specs[j]) if j < len(specs) else F.lit(None)).cast("double").alias(f"v{j}") for j in range(slots)]))
+        kinds |= {(j, *_kind(s)) for j, s in enumerate(specs)}
+    rows = df.select(F.inline(F.array(*sets)))
+    groups = stored(rows.groupBy("set", *[f"k{j}" for j in range(len(keys))]).agg(*[aggregate("non_null" if kind == "count" else kind, F.col(f"v{j}"), approx=approx).alias(_slot(j, kind, approx)) for j, kind, approx in sorted(kinds)]), "groups")
+    return {key: [groups.where(F.col("set") == i).select(F.col(f"k{i}").alias("key"), F.col(_slot(j, *_kind(s))).alias("value")) for j, s in enumerate(by_key[key])] for i, key in enumerate(keys)}
+
+
+def _kind(spec: dict) -> tuple[str, bool]:
+    return spec["formula_type"].removeprefix("group_"), bool(spec.get("approx", False))
+
+
+def _slot(j: int, kind: str, approx: bool) -> str:
+    return f"v{j}_{kind}{'_approx' * approx}"
+
+
+def _input(df: DataFrame, spec: dict) -> Column:
+    """The number that a row gives to the measure of a grouped spec: null if none."""
+    value, where = F.lit(1.0) if _kind(spec)[0] == "count" else num(df, spec["value_column"]), _condition(df, spec)
+    return value if where is None else F.when(where, value)
+
+
 def grouped_chart(df: DataFrame, spec: dict) -> DataFrame:
     """(key, label, value) of one grouped spec, in its visual's order."""
     return _chart(grouped(df, spec["group_by"], {"value": measure(df, spec)}), spec, "value")
 
 
-def _chart(groups: DataFrame, spec: dict, name: str) -> DataFrame:
+def _chart(groups: DataFrame, spec: dict, name: str = "value") -> DataFrame:
     rows = groups.select("key", label(F.col("key")).alias("label"), F.col(name).alias("value"))
     visual = spec.get("visual") or spec.get("chart_type") or "bar_chart"
     if spec.get("sort") == "label" and visual in SERIES_VISUALS:
@@ -145,25 +198,38 @@ def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS) -> DataFrame
     return every.join(counts, "bin", "left").select("bin", "lo", "hi", "label", F.coalesce("count", F.lit(0)).cast("long").alias("count")).orderBy("bin")
 
 
-def scatter(df: DataFrame, x: str, y: str, order_by: list[str], color: str | None = None, size: str | None = None, rows: int = SCATTER_ROWS) -> DataFrame:
-    """The first `rows` rows by order_by, then only those with both x and y."""
-    first = df.orderBy(*[F.asc_nulls_last(col(c)) for c in order_by]).limit(rows)
+def scatter(df: DataFrame, x: str, y: str, order_by: list[str], color: str | None = None, size: str | None = None, rows: int = SCATTER_ROWS, pos: bool = False) -> DataFrame:
+    """The first `rows` rows by order_by, then only those with both x and y. pos: with their place among the first."""
+    order = [F.asc_nulls_last(col(c)) for c in order_by]
+    first = df.orderBy(*order).limit(rows)
     extra = [label(col(color)).alias("color")] if color else []
     extra += [num(df, size).alias("size")] if size else []
+    extra += [F.row_number().over(Window.orderBy(*order)).alias("pos")] if pos else []  # over `rows` rows at most
     return first.select(num(df, x).alias("x"), num(df, y).alias("y"), *extra).where("x is not null and y is not null")
 
 
 def heatmap(df: DataFrame, x: str, y: str, value: str | None = None, aggregation: str = "count", n: int = DEFAULT_TOP) -> DataFrame:
-    """(x, y, value): cells of the n x-labels and n y-labels of largest summed value. Average and sum need a value; otherwise rows are counted."""
+    """(x, y, value): cells of the n x-labels and n y-labels of largest summed value. Average and sum need a value; otherwise rows are counted.
+
+    Sums of counts and sums are known from the axes alone, so that only rows of the labels that stay form cells. Averages
+    are summed over their cells, so there all cells are made first.
+    """
     kind = aggregation if value and aggregation in ("sum", "average") else "count"
-    cell = aggregate(kind, num(df, value) if value else None)
-    cells = df.groupBy(label(col(x)).alias("x"), label(col(y)).alias("y")).agg(cell.alias("value"))
+    rows = df.select(label(col(x)).alias("x"), label(col(y)).alias("y"), (num(df, value) if value else F.lit(1.0)).alias("v"))
+
+    def cells(of: DataFrame) -> DataFrame:
+        return of.groupBy("x", "y").agg(aggregate(kind, F.col("v")).alias("value"))
 
-    def largest(axis: str) -> DataFrame:
-        return cells.groupBy(axis).agg(F.sum("value").alias("total")).orderBy(F.desc_nulls_last("total"), axis).limit(n).select(axis)
+    def largest(totals: DataFrame, axis: str) -> DataFrame:
+        # each side of the semi joins has at most n rows
+        return F.broadcast(totals.orderBy(F.desc_nulls_last("total"), axis).limit(n).select(axis))
 
-    # each side of the semi joins has at most n rows
-    return cells.join(F.broadcast(largest("x")), "x", "left_semi").join(F.broadcast(largest("y")), "y", "left_semi").select("x", "y", "value")
+    if kind == "average":
+        made = cells(rows)
+        tops = {axis: largest(made.groupBy(axis).agg(F.sum("value").alias("total")), axis) for axis in ("x", "y")}
+        return made.join(tops["x"], "x", "left_semi").join(tops["y"], "y", "left_semi").select("x", "y", "value")
+    tops = {axis: largest(rows.groupBy(axis).agg(aggregate(kind, F.col("v")).alias("total")), axis) for axis in ("x", "y")}
+    return cells(rows.join(tops["x"], "x", "left_semi").join(tops["y"], "y", "left_semi")).select("x", "y", "value")
 
 
 @dataclass
@@ -180,7 +246,7 @@ def _columns_of(spec: dict) -> list[str]:
 
 
 def compute(df: DataFrame, specs: list[dict]) -> KpiResult:
-    """Every spec; cards share one pass and grouped charts of the same key share one shuffle. A bad spec becomes an error, the others go on."""
+    """Every spec; cards share one pass, and grouped charts of any keys one scan and one shuffle. A bad spec becomes an error, the others go on."""
     out, plain, by_key = KpiResult(cards(df, [])), [], defaultdict(list)
     for spec in specs:
         name, kind = spec.get("name"), spec.get("formula_type")
@@ -193,11 +259,12 @@ def compute(df: DataFrame, specs: list[dict]) -> KpiResult:
                 plain.append(spec)
             elif kind in GROUP_TYPES:
                 top_n(spec)
-                by_key[spec["group_by"]].append((spec, measure(df, spec)))
+                measure(df, spec)
+                by_key[spec["group_by"]].append(spec)
             elif kind == "histogram":
                 out.charts[name] = histogram(df, spec["column"], int(spec.get("bins") or DEFAULT_BINS))
             elif kind == "scatter":
-                out.charts[name] = scatter(df, spec["x_column"], spec["y_column"], spec.get("order_by") or df.columns, spec.get("color_column"), spec.get("size_column"))
+                out.charts[name] = scatter(df, spec["x_column"], spec["y_column"], spec.get("order_by") or df.columns, spec.get("color_column"), spec.get("size_column"), pos=True)
             elif kind == "heatmap":
                 out.charts[name] = heatmap(df, spec["x_column"], spec["y_column"], spec.get("value_column"), spec.get("aggregation") or "count", top_n(spec))
             else:
@@ -212,10 +279,10 @@ def compute(df: DataFrame, specs: list[dict]) -> KpiResult:
         except Exception as e:
             out.errors.append({"name": name, "formula_type": kind, "error": str(e).splitlines()[0]})
     out.cards = cards(df, plain)
-    for key, items in by_key.items():
-        groups = grouped(df, key, {f"m{i}": m for i, (_, m) in enumerate(items)})
-        if len(items) > 1:
-            groups = groups.persist()
-        for i, (spec, _) in enumerate(items):
-            out.charts[spec["name"]] = _chart(groups, spec, f"m{i}")
+    if sum(map(len, by_key.values())) == 1:
+        ((spec,),) = by_key.values()
+        out.charts[spec["name"]] = grouped_chart(df, spec)
+    elif by_key:
+        sets = grouped_sets(df, by_key)
+        out.charts |= {spec["name"]: _chart(rows, spec) for key, specs in by_key.items() for spec, rows in zip(specs, sets[key])}
     return out

@@ -63,11 +63,12 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def distinct_counts(df: DataFrame) -> DataFrame:
     """(position, unique) of every column: values go through one shuffle as 16-byte digests, partly combined before it."""
-    cells = F.array(*[F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("position"), F.unhex(F.md5(_bytes(df, c))).alias("digest"))) for i, c in enumerate(df.columns)])
+    cells = F.array(*[F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("position"), F.unhex(F.md5(value_bytes(df, c))).alias("digest"))) for i, c in enumerate(df.columns)])
     return df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).select("c.*").distinct().groupBy("position").agg(F.count("*").alias("unique"))
 
 
-def _bytes(df: DataFrame, name: str) -> Column:
+def value_bytes(df: DataFrame, name: str) -> Column:
+    """A column's values as bytes, equal if and only if the values are."""
     t = df.schema[name].dataType
     if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(F.struct(col(name))).cast("binary")
@@ -78,6 +79,6 @@ def _bytes(df: DataFrame, name: str) -> Column:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(row_count, column_count, duplicate_rows): rows that repeat an earlier one, missing equal to missing; rows are told apart by 128-bit digests."""
     df = nan_to_null(df)
-    cells = [F.when(col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.hex(_bytes(df, c)), F.lit("."))) for c in df.columns]
+    cells = [F.when(col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.hex(value_bytes(df, c)), F.lit("."))) for c in df.columns]
     counts = df.groupBy(F.unhex(F.md5(F.concat(*cells).cast("binary"))).alias("d")).agg(F.count("*").alias("n"))
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.lit(len(df.columns)).cast("long").alias("column_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
