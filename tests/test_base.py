@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions import coerce
 from tidewright.functions.coerce import nan_to_null, num
 from tidewright.functions.coerce import dt as to_time
 from tidewright.functions.formula import FormulaError, check_formula, compile_formula, derive
@@ -195,7 +196,19 @@ def test_first_occurrence_with_gaps_and_ties(spark):
     rows = [(1, "a", None, 1), (2, "a", "2024-01-02", 2), (3, "a", "2024-01-02", 1), (4, "b", None, 1), (5, None, "2024-01-01", 1), (6, "c", "2024-01-01", None), (7, "c", "2024-01-01", 3), (8, "d", "2024-05-01", 7), (9, "d", "2024-05-01", 7)]
     df = spark.createDataFrame(rows, "i int, who string, day string, tie int")
     out = metrics.first_occurrence(df, "who", "day", "tie")
-    assert out.count() == len(rows) and {r.i for r in out.where("is_first").collect()} == {3, 6, 8, 9}
+    first = {r.i for r in out.where("is_first").collect()}
+    # of rows equal in entity, date and tie, one
+    assert out.count() == len(rows) and first - {8, 9} == {3, 6} and len(first) == 3
+
+
+def test_one_of_equal_rows_is_first(spark):
+    rows = [("a", "2024-01-02", 1)] * 500 + [("a", "2024-01-03", 0)] * 5 + [("b", "2024-01-01", 1)] * 2 + [("c", "soon", 1)] * 2
+    out = metrics.first_occurrence(spark.createDataFrame(rows, "who string, day string, tie int").repartition(7), "who", "day", "tie")
+    assert out.columns == ["who", "day", "tie", "is_first"]
+    assert sorted(values(out.where("is_first"), "who", "day", "tie")) == [("a", "2024-01-02", 1), ("b", "2024-01-01", 1)]
+    assert sorted(values(out.drop("is_first"), "who", "day", "tie")) == sorted(rows)
+    with pytest.raises(ValueError):
+        metrics.first_occurrence(out, "who", "day", "tie")
 
 
 def test_csv_fields_over_lines_and_folders(spark, tmp_path):
@@ -216,3 +229,124 @@ def test_chart_metadata_names_limits_and_values(spark):
     about = kpi.compute(df, specs).metadata
     assert about["g"]["top_n"] == 3 and about["h"]["bins"] == 4
     assert (about["m"]["x"], about["m"]["y"], about["m"]["value"], about["m"]["aggregation"]) == ("k", "c", "v", "sum")
+
+
+def test_positions_go_on_over_partitions(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit("x").alias("k"))
+    out = charts.positions(df, F.desc("v"))
+    assert out.columns == ["v", "k", "pos"]
+    assert [(r.v, r.pos) for r in out.orderBy("pos").collect()] == [(4999 - i, i + 1) for i in range(5000)]
+    assert charts.positions(df.limit(0), F.desc("v")).count() == 0
+
+
+def test_positions_use_no_window_over_rows(spark):
+    out = charts.positions(spark.range(1000).repartition(8), F.desc("id"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") <= 2 and "sum(n_" in plan and "row_number" not in plan
+
+
+def _grouped_by_hand(df, specs):
+    return {s["name"]: kpi.grouped_chart(df, s).drop("label") for s in specs}
+
+
+def test_grouped_sets_equal_single_groups(spark):
+    rows = [(i % 3 if i % 7 else None, "xyz"[i % 3], float(i % 5) if i % 11 else None, -0.0 if i % 2 else 0.0, str(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b string, v double, z double, t string")
+    specs = [{"name": f"{kind} by {key}", "formula_type": f"group_{kind}", "group_by": key, "value_column": value, "top_n": 100} for key, value in (("a", "v"), ("b", "t"), ("z", "v")) for kind in ("sum", "average", "median", "min", "max", "std", "count")]
+    specs += [{"name": "some", "formula_type": "group_count", "group_by": "a", "filter_condition": "v > 2"}, {"name": "big", "formula_type": "group_sum", "group_by": "b", "value_column": "v", "filter_condition": "v > 2"}]
+    out = kpi.compute(df, specs)
+    assert not out.errors
+    for name, want in _grouped_by_hand(df, specs).items():
+        got = sorted(((repr(r.key), r.value) for r in out.charts[name].select("key", "value").collect()))
+        assert got == [(k, pytest.approx(v)) for k, v in sorted((repr(r.key), r.value) for r in want.collect())], name
+
+
+def test_grouped_sets_scan_once(spark, tmp_path):
+    df = spark.createDataFrame([(i % 2, i % 3, i % 5, float(i)) for i in range(60)], "a int, b int, c int, v double")
+    write_table(df, str(tmp_path / "t.parquet"))
+    seen = []
+    source = spark.read.parquet(str(tmp_path / "t.parquet"))
+    original = kpi.stored
+
+    def spy(rows, what):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return original(rows, what)
+
+    kpi.stored = spy
+    try:
+        made = kpi.compute(source, [{"name": k, "formula_type": "group_sum", "group_by": k, "value_column": "v"} for k in "abc"])
+    finally:
+        kpi.stored = original
+    assert len(seen) == 1 and seen[0].count("Relation") == 1 and set(made.charts) == set("abc")
+
+
+def test_cards_and_facts_without_expand(spark):
+    df = spark.createDataFrame([(i % 40, i % 3000, None if i % 2 else "x") for i in range(6000)], "few int, many int, t string")
+    specs = [{"name": c, "formula_type": "count_distinct", "column": c} for c in df.columns] + [{"name": "odd", "formula_type": "count_distinct", "column": "few", "filter_condition": "many > 2990"}, {"name": "n", "formula_type": "count_rows"}, {"name": "none", "formula_type": "count_distinct", "column": "few", "filter_condition": "many > 5000"}]
+    cards = kpi.cards(df, specs)
+    assert sorted(values(cards, "title", "value")) == [("few", 40.0), ("many", 3000.0), ("n", 6000.0), ("none", 0.0), ("odd", 9.0), ("t", 1.0)]
+    facts = checks.column_facts(df, df.columns)
+    assert (facts["few"].distinct, facts["t"].distinct) == (40, 1) and abs(facts["many"].distinct - 3000) < 300
+    for plan in (cards, checks.facts_table(df, df.columns)):
+        assert "Expand" not in plan._jdf.queryExecution().executedPlan().toString()
+    edge = checks.column_facts(spark.createDataFrame([("",), (None,), ("a",)], "t string"), ["t"])
+    assert edge["t"].distinct == 2
+
+
+def test_heatmap_cut_keeps_what_all_cells_keep(spark):
+    df = spark.createDataFrame([(i % 9 if i % 13 else None, i % 7, float(i % 4) if i % 5 else None) for i in range(500)], "a int, b int, v double")
+    for value, kind in ((None, "count"), ("v", "sum"), ("v", "average")):
+        cells = {}
+        for a, b, v in [tuple(r) for r in df.collect()]:
+            cells.setdefault(("Missing" if a is None else str(a), str(b)), []).append(v)
+        made = {k: len(v) if kind == "count" else sum(x or 0 for x in v) if kind == "sum" else sum(x for x in v if x is not None) / len([x for x in v if x is not None]) for k, v in cells.items()}
+
+        def top(axis):
+            totals = {}
+            for k, v in made.items():
+                totals[k[axis]] = totals.get(k[axis], 0) + v
+            return sorted(totals, key=lambda k: (-round(totals[k], 9), k))[:4]
+
+        want = {k: v for k, v in made.items() if k[0] in top(0) and k[1] in top(1)}
+        got = {(r.x, r.y): r.value for r in kpi.heatmap(df, "a", "b", value, kind, 4).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_signatures_of_date_shapes():
+    assert coerce.signatures(r"\d{4}-\d{1,2}") == ["9999-9", "9999-99"]
+    assert coerce.signatures(r"[A-Z][a-z]{3,8} \d{1,2},? \d{4}") == ["M 9 9999", "M 9, 9999", "M 99 9999", "M 99, 9999"]
+    assert coerce.signatures(r"\d{2}(?:Z|[+-]\d{2}:\d{2})") == ["99Z", "99+99:99", "99-99:99"]
+
+
+def test_batch_goes_on_beside_a_failure_and_keeps_caches(spark, tmp_path):
+    for name, text in (("a", "k,v\nx,1\ny,2\n"), ("b", ""), ("c", "k,v\nx,3\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    (tmp_path / "d.csv").write_bytes("k,v\nété,1\n".encode("latin-1"))
+    mine = spark.range(10).persist()
+    mine.count()
+    manifest = jobs.batch(spark, str(tmp_path), str(tmp_path / "out"), {}, {"kpis": [{"name": "n", "formula_type": "group_count", "group_by": "k"}]})
+    assert [(r.table, r.status) for r in manifest.collect()] == [("a.csv", "succeeded"), ("b.csv", "failed"), ("c.csv", "succeeded"), ("d.csv", "succeeded")]
+    assert mine.is_cached and mine.storageLevel.useMemory
+    mine.unpersist()
+    assert [r.label for r in spark.read.json(str(tmp_path / "out/d/chart_points")).collect()] == ["été"]
+
+
+def test_job_writes_every_chart_and_log(spark, tmp_path):
+    df = spark.createDataFrame([(f"2024-0{1 + i % 4}-01", "abc"[i % 3], float(i), float(i % 7)) for i in range(60)], "day string, kind string, v double, w double")
+    plan = {"kpis": [
+        {"name": "bins", "formula_type": "histogram", "column": "v", "bins": 5}, {"name": "cloud", "formula_type": "scatter", "x_column": "v", "y_column": "w", "color_column": "kind", "size_column": "v"},
+        {"name": "cells", "formula_type": "heatmap", "x_column": "kind", "y_column": "day"}, {"name": "line", "formula_type": "group_sum", "group_by": "day", "value_column": "v", "visual": "line_chart"},
+        {"name": "bars", "formula_type": "group_count", "group_by": "kind", "visual": "bar_chart"}, {"name": "all", "formula_type": "sum", "column": "v"}, {"name": "bad", "formula_type": "sum", "column": "gone"},
+    ]}
+    jobs.save(jobs.run(df, {"derived_columns": [{"name": "m", "formula": "month(day)"}, {"name": "m2", "formula": "nothing(day)"}]}, plan), str(tmp_path))
+    read = lambda name: spark.read.json(f"{tmp_path}/{name}")
+    points = read("chart_points")
+    assert sorted(values(points.groupBy("chart", "chart_no", "type").count(), "chart", "chart_no", "type", "count")) == [("bars", 5, "bar", 3), ("bins", 1, "histogram", 5), ("cells", 3, "heatmap", 12), ("cloud", 2, "scatter", 60), ("line", 4, "line", 4)]
+    for name in ("bins", "cells", "cloud", "line", "bars"):
+        assert [r.pos for r in points.where(F.col("chart") == name).orderBy("pos").collect()] == list(range(1, points.where(F.col("chart") == name).count() + 1))
+    cloud = points.where("chart = 'cloud'").orderBy("pos").collect()
+    assert {(r.x, r.y, r.series, r.size) for r in cloud} == {(float(i), float(i % 7), "abc"[i % 3], float(i)) for i in range(60)}
+    assert {(r.item, r.status) for r in read("kpi_log").collect()} == {(k["name"], "rejected" if k["name"] == "bad" else "accepted") for k in plan["kpis"]}
+    assert {(r.item, r.status) for r in read("schema_log").collect()} == {("m", "accepted"), ("m2", "rejected")}
+    assert {r["name"] for r in read("metadata").collect()} == {"day", "kind", "v", "w", "m"} and {r["name"] for r in read("chart_metadata").collect()} >= {"bins", "cloud", "cells", "line", "bars"}
+    assert read("cards").first().value == sum(range(60))

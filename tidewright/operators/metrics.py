@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import col, dt, num
 from ..functions.formula import date_diff
+from ..sources.scratch import stored
 from .kpi import aggregate, grouped
+from .profile import row_digest
 
 # Thresholds of warnings and of chart suitability.
 HIGH_MISSING = 60.0
@@ -123,16 +125,28 @@ def date_range(df: DataFrame, date: str) -> DataFrame:
 
 
 def first_occurrence(df: DataFrame, entity: str, date: str, tie: str) -> DataFrame:
-    """df with is_first: the entity's first row by date, then by tie. The firsts are found by partial aggregation, so that a large entity fills no window.
+    """df with is_first: exactly one row of each entity, its first by date, then by tie, then by a digest of the whole row.
 
-    Rows without a date, or without an entity, are never first; a missing tie comes before all others. The tie should tell
-    rows of one date apart: rows that are equal in entity, date and tie are first together.
+    The firsts are found by partial aggregation, so that a large entity fills no window, and both sides of the join are
+    tables, so that its rows can be split. Rows that are equal throughout are told apart by their place in the table that
+    the first rows are written to: one of them is first. Rows without a date, or without an entity, are never first; a
+    missing tie comes before all others.
     """
-    dated = df.where(col(entity).isNotNull() & dt(df, date).isNotNull())
-    first = dated.groupBy(col(entity).alias("entity_")).agg(F.min(F.struct(dt(df, date).alias("d"), col(tie).alias("t"))).alias("first_"))
-    joined = df.join(first, col(entity) == F.col("entity_"), "left")
-    same = (dt(df, date) == F.col("first_.d")) & col(tie).eqNullSafe(F.col("first_.t"))
-    return joined.withColumn("is_first", F.coalesce(same, F.lit(False))).drop("entity_", "first_")
+    spare = [f"first{i}_" for i in range(4)]
+    if {c.lower() for c in df.columns} & {*spare, "is_first"}:
+        raise ValueError("is_first and the columns first0_ to first3_ are made here")
+    who, when, which, place = spare
+    order = F.when(col(entity).isNotNull() & dt(df, date).isNotNull(), F.struct(dt(df, date).alias("d"), col(tie).alias("t"), row_digest(df).alias("r")))
+    tagged = df.withColumn(when, order)
+    first = stored(tagged.where(F.col(when).isNotNull()).groupBy(col(entity).alias(who)).agg(F.min(when).alias(which)), "first-rows")
+    joined = tagged.join(first, col(entity) == F.col(who), "left")
+    is_one = F.coalesce(F.col(when) == F.col(which), F.lit(False))
+    names = [col(c) for c in df.columns]
+    # mostly one row an entity; copies of it besides
+    found = stored(joined.where(is_one).select(*names, F.monotonically_increasing_id().alias(place)), "found")
+    lead = stored(found.groupBy(col(entity).alias(who)).agg(F.min(place).alias(which)), "leading")
+    marked = found.join(lead, col(entity) == F.col(who)).select(*names, (F.col(place) == F.col(which)).alias("is_first"))
+    return joined.where(~is_one).select(*names, F.lit(False).alias("is_first")).union(marked)
 
 
 def recency(df: DataFrame, entity: str, date: str, as_of: str) -> DataFrame:

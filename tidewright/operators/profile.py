@@ -76,9 +76,14 @@ def value_bytes(df: DataFrame, name: str) -> Column:
     return c if isinstance(t, T.BinaryType) else c.cast("string").cast("binary")
 
 
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a whole row, missing equal to missing."""
+    cells = [F.when(col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.hex(value_bytes(df, c)), F.lit("."))) for c in df.columns]
+    return F.unhex(F.md5(F.concat(*cells).cast("binary")))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(row_count, column_count, duplicate_rows): rows that repeat an earlier one, missing equal to missing; rows are told apart by 128-bit digests."""
     df = nan_to_null(df)
-    cells = [F.when(col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.hex(value_bytes(df, c)), F.lit("."))) for c in df.columns]
-    counts = df.groupBy(F.unhex(F.md5(F.concat(*cells).cast("binary"))).alias("d")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(row_digest(df).alias("d")).agg(F.count("*").alias("n"))
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.lit(len(df.columns)).cast("long").alias("column_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
