@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from ..functions import coerce
 from ..functions.formula import check_formula
 from ..operators import charts, checks, clean, derive, kpi, metrics, profile, roles
 from ..sources import io
+from ..sources.scratch import new_path
 from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,13 +580,7 @@ def compact_numbers(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; in local mode a temporary one stands for it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return new_path(spark, "io")
 
 
 @query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, count(*) AS n, sum(c_custkey)::BIGINT AS keys, round(sum(c_acctbal), 2) AS balance, count(DISTINCT c_name) AS names FROM customer" for kind in ("csv", "json", "orc", "parquet")))
@@ -692,3 +685,116 @@ def chart_metadata(spark, sf_dir):
     made = kpi.compute(table(spark, sf_dir, "orders"), _JOB["kpis"])
     about = made.metadata["by status"]
     return made.charts["by status"].agg(F.lit("by status").alias("name"), *[F.lit(about[k]).alias(k) for k in ("type", "x", "aggregation")], F.count("*").alias("points"))
+
+
+# --- whole jobs: every chart, log and description ------------------------------------------------
+
+_ALL_CHARTS = {"kpis": [
+    {"name": "prices", "formula_type": "histogram", "column": "o_totalprice", "bins": 8},
+    {"name": "days", "formula_type": "heatmap", "x_column": "o_orderstatus", "y_column": "o_orderpriority", "value_column": "o_totalprice", "aggregation": "sum"},
+    {"name": "first orders", "formula_type": "scatter", "x_column": "o_custkey", "y_column": "o_totalprice", "order_by": ["o_orderkey", "o_custkey", "o_totalprice"], "color_column": "o_orderstatus", "size_column": "o_shippriority"},
+    {"name": "by day", "formula_type": "group_sum", "group_by": "o_orderdate", "value_column": "o_totalprice", "visual": "line_chart"},
+    {"name": "best customers", "formula_type": "group_sum", "group_by": "o_custkey", "value_column": "o_totalprice", "visual": "bar_chart", "top_n": 5},
+    {"name": "lost", "formula_type": "group_sum", "group_by": "o_missing", "value_column": "o_totalprice"},
+    {"name": "worded", "formula_type": "sum", "column": "o_orderstatus"},
+    {"name": "orders", "formula_type": "count_rows"},
+]}
+_ORDERS = "(SELECT DISTINCT * FROM orders)"
+
+
+def _saved_job(spark: SparkSession, sf_dir: str, result: str) -> DataFrame:
+    """A result of a whole job over orders, as it was written and is read again."""
+    folder = _folder(spark)
+    orders = table(spark, sf_dir, "orders").withColumn("o_shippriority", F.col("o_custkey") % 3)
+    schema = {"rename_columns": [{"old_name": "o_nothing", "new_name": "x"}], "derived_columns": [{"name": "month_", "formula": "month(o_orderdate)"}, {"name": "half", "formula": "open(o_totalprice)"}, {"name": "double", "formula_type": "multiply", "input_columns": ["o_totalprice", "o_orderstatus"]}, {"name": "year_", "formula_type": "extract_year", "input_columns": ["o_orderdate"]}]}
+    jobs.save(jobs.run(orders, schema, _ALL_CHARTS), folder)
+    return spark.read.json(f"{folder}/{result}")
+
+
+@query(f"""WITH o AS {_ORDERS}, r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM o),
+e AS (SELECT i + 1 AS pos, CASE WHEN i = 0 THEN lo - 0.001 * (hi - lo) ELSE lo + (hi - lo) * i / 8 END AS x, CASE WHEN i = 7 THEN hi ELSE lo + (hi - lo) * (i + 1) / 8 END AS y FROM r, range(8) t(i)),
+f AS (SELECT * FROM o ORDER BY o_orderkey, o_custkey, o_totalprice LIMIT 500)
+SELECT 'prices' AS chart, 1 AS chart_no, 'histogram' AS type, pos, NULL AS label, NULL AS series, round(x, 4) AS x, round(y, 4) AS y, count(o_totalprice)::DOUBLE AS value, NULL AS size FROM e LEFT JOIN o ON o_totalprice > x AND o_totalprice <= y GROUP BY ALL
+UNION ALL SELECT 'days', 2, 'heatmap', row_number() OVER (ORDER BY o_orderstatus, o_orderpriority), o_orderstatus, o_orderpriority, NULL, NULL, round(sum(o_totalprice), 2), NULL FROM o GROUP BY o_orderstatus, o_orderpriority
+UNION ALL SELECT 'first orders', 3, 'scatter', row_number() OVER (ORDER BY o_orderkey, o_custkey, o_totalprice), NULL, o_orderstatus, o_custkey, round(o_totalprice, 4), round(o_totalprice, 2), (o_custkey % 3)::DOUBLE FROM f
+UNION ALL SELECT 'by day', 4, 'line', row_number() OVER (ORDER BY o_orderdate), strftime(o_orderdate, '%Y-%m-%d'), NULL, NULL, NULL, round(sum(o_totalprice), 2), NULL FROM o GROUP BY o_orderdate
+UNION ALL (SELECT 'best customers', 5, 'bar', row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey), o_custkey::VARCHAR, NULL, NULL, NULL, round(sum(o_totalprice), 2), NULL FROM o GROUP BY o_custkey ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 5)""")
+def job_charts(spark, sf_dir):
+    """The points of a job's histogram, heatmap, point cloud, line and bars, read back from its results."""
+    points = _saved_job(spark, sf_dir, "chart_points")
+    label = F.when(F.col("type") == "line", F.substring("label", 1, 10)).when(F.col("type").isin("heatmap", "bar"), F.col("label"))
+    return _rounded(points.select("chart", "chart_no", "type", "pos", label.alias("label"), "series", "x", "y", "value", "size"), 4, "x", "y").withColumn("value", F.round("value", 2))
+
+
+@query("""WITH n AS (SELECT avg((try_cast(o_orderstatus AS DOUBLE) IS NOT NULL)::INT) >= 0.8 AS numbers FROM orders)
+SELECT unnest(['prices', 'days', 'first orders', 'by day', 'best customers', 'lost', 'worded', 'orders']) AS item, unnest(['accepted', 'accepted', 'accepted', 'accepted', 'accepted', CASE WHEN (SELECT count(*) FROM (DESCRIBE orders) WHERE column_name = 'o_missing') = 0 THEN 'rejected' ELSE 'accepted' END, CASE WHEN numbers THEN 'accepted' ELSE 'rejected' END, 'accepted']) AS status FROM n""")
+def job_kpi_log(spark, sf_dir):
+    """What became of a plan's KPIs: one names a missing column, one sums texts."""
+    return _saved_job(spark, sf_dir, "kpi_log").select("item", "status")
+
+
+@query("""WITH n AS (SELECT avg((try_cast(o_orderstatus AS DOUBLE) IS NOT NULL)::INT) >= 0.8 AS numbers, avg((try_cast(o_orderdate AS TIMESTAMP) IS NOT NULL)::INT) >= 0.7 AS dates FROM orders)
+SELECT unnest(['o_nothing', 'month_', 'half', 'double', 'year_']) AS item, unnest(['rename', 'derive', 'derive', 'derive', 'derive']) AS kind,
+  unnest(['rejected', 'accepted', 'rejected', CASE WHEN numbers THEN 'accepted' ELSE 'rejected' END, CASE WHEN dates THEN 'accepted' ELSE 'rejected' END]) AS status FROM n""")
+def job_schema_log(spark, sf_dir):
+    """What became of a plan's renames and derived columns."""
+    return _saved_job(spark, sf_dir, "schema_log").select("item", "kind", "status")
+
+
+@query(f"""SELECT unnest(['o_custkey', 'o_orderstatus', 'month_', 'year_']) AS name, unnest(['number', 'text', 'datetime', 'number']) AS detected_type, unnest([c, s, m, y]) AS unique_count
+FROM (SELECT count(DISTINCT o_custkey) AS c, count(DISTINCT o_orderstatus) AS s, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS m, count(DISTINCT year(o_orderdate)) AS y FROM {_ORDERS})""")
+def job_metadata(spark, sf_dir):
+    """What a job says of its enriched table, derived columns included."""
+    return _saved_job(spark, sf_dir, "metadata").where(F.col("name").isin("o_custkey", "o_orderstatus", "month_", "year_")).select("name", "detected_type", "unique_count")
+
+
+@query("""SELECT CASE WHEN grouping(l_returnflag) = 0 THEN 'flag' WHEN grouping(l_linestatus) = 0 THEN 'status' WHEN grouping(l_suppkey) = 0 THEN 'supplier' WHEN grouping(l_linenumber) = 0 THEN 'line' ELSE 'tax' END AS chart,
+  coalesce(l_returnflag, l_linestatus, l_suppkey::VARCHAR, l_linenumber::VARCHAR, l_tax::VARCHAR) AS label,
+  round(CASE WHEN grouping(l_returnflag) = 0 THEN sum(l_quantity) WHEN grouping(l_linestatus) = 0 THEN avg(l_discount) WHEN grouping(l_suppkey) = 0 THEN max(l_extendedprice) WHEN grouping(l_linenumber) = 0 THEN count(*) FILTER (WHERE l_quantity > 25) ELSE stddev_samp(l_quantity) END, 4) AS value
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_suppkey), (l_linenumber), (l_tax))""")
+def group_sets(spark, sf_dir):
+    """Charts of five keys from one scan."""
+    specs = {
+        "flag": {"formula_type": "group_sum", "group_by": "l_returnflag", "value_column": "l_quantity"}, "status": {"formula_type": "group_average", "group_by": "l_linestatus", "value_column": "l_discount"},
+        "supplier": {"formula_type": "group_max", "group_by": "l_suppkey", "value_column": "l_extendedprice"}, "line": {"formula_type": "group_count", "group_by": "l_linenumber", "filter_condition": "l_quantity > 25"},
+        "tax": {"formula_type": "group_std", "group_by": "l_tax", "value_column": "l_quantity"},
+    }
+    made = kpi.grouped_sets(table(spark, sf_dir, "lineitem"), {s["group_by"]: [s] for s in specs.values()})
+    parts = [made[s["group_by"]][0].select(F.lit(name).alias("chart"), F.col("key").cast("string").alias("label"), F.round("value", 4).alias("value")) for name, s in specs.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+@query("SELECT row_number() OVER (ORDER BY n DESC, key) AS pos, key, n FROM (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1)")
+def group_positions(spark, sf_dir):
+    """All groups numbered by their size, without a window over them."""
+    groups = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count("*").alias("n"))
+    return charts.positions(groups, F.desc("n"), F.asc("key"))
+
+
+@query("""SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, copy) = 1 AS is_first FROM (SELECT DISTINCT o_orderkey, o_custkey, o_orderdate FROM orders), range(3) t(copy)""")
+def first_purchase_copies(spark, sf_dir):
+    """Of three copies of each order, one is first if the order is."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").distinct()
+    return metrics.first_occurrence(orders.union(orders).union(orders), "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "is_first")
+
+
+@query("""SELECT 'customer.csv' AS "table", 'succeeded' AS status, count(*) AS rows_in FROM customer UNION ALL SELECT 'empty.csv', 'failed', NULL UNION ALL SELECT 'supplier.csv', 'succeeded', count(*) FROM supplier""")
+def batch_failures(spark, sf_dir):
+    """A table without a header fails and the others go on."""
+    folder = _folder(spark)
+    for name in ("customer", "supplier"):
+        io.write_table(table(spark, sf_dir, name), f"{folder}/in/{name}.csv", "csv")
+    table(spark, sf_dir, "customer").select("c_name").limit(0).write.text(f"{folder}/in/empty.csv")
+    return jobs.batch(spark, f"{folder}/in", f"{folder}/out").select("table", "status", "rows_in")
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name || ' é' AS name FROM customer UNION ALL SELECT c_custkey::VARCHAR, c_name || ' ü' FROM customer")
+def read_encodings(spark, sf_dir):
+    """The same reader finds out UTF-8 and Latin-1."""
+    folder, out = _folder(spark), None
+    for encoding, letter in (("UTF-8", "é"), ("ISO-8859-1", "ü")):
+        named = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(f" {letter}")).alias("name"))
+        named.write.options(header=True, encoding=encoding).csv(f"{folder}/{encoding}.csv")
+        read = io.read_table(spark, f"{folder}/{encoding}.csv", "auto")
+        out = read if out is None else out.union(read)
+    return out
