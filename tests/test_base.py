@@ -9,7 +9,7 @@ from tidewright.functions import coerce
 from tidewright.functions.coerce import nan_to_null, num
 from tidewright.functions.coerce import dt as to_time
 from tidewright.functions.formula import FormulaError, check_formula, compile_formula, derive
-from tidewright.operators import charts, checks, clean, kpi, metrics, profile, roles
+from tidewright.operators import charts, checks, clean, kpi, metrics, profile, quantiles, roles
 from tidewright.operators.derive import apply_schema
 from tidewright.plans import jobs
 from tidewright.sources.io import read_table, write_table
@@ -350,3 +350,26 @@ def test_job_writes_every_chart_and_log(spark, tmp_path):
     assert {(r.item, r.status) for r in read("schema_log").collect()} == {("m", "accepted"), ("m2", "rejected")}
     assert {r["name"] for r in read("metadata").collect()} == {"day", "kind", "v", "w", "m"} and {r["name"] for r in read("chart_metadata").collect()} >= {"bins", "cloud", "cells", "line", "bars"}
     assert read("cards").first().value == sum(range(60))
+
+
+def test_exact_quantiles_equal_percentiles(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(None if i % 17 == 0 else i % 4, rng.choice([rng.gauss(0, 1), rng.expovariate(1) * 10 ** rng.randint(-300, 300), -rng.expovariate(1) * 10 ** rng.randint(-30, 30), 0.0, -0.0, float(rng.randrange(5)), None])) for i in range(4000)]
+    rows += [(7, None), (8, 2.5), (9, 1.0), (9, 2.0), (10, float("inf")), (10, float("-inf")), (10, 1.0), (10, 5.0), (10, float("inf"))]
+    df = spark.createDataFrame(rows, "k int, v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    want = {r.key: r for r in df.groupBy(F.col("k").alias("key")).agg(F.count("v").alias("n"), F.percentile("v", at).alias("q")).collect()}
+    for buckets in (64, 256):
+        got = {r.key: r for r in quantiles.exact_quantiles(df, "k", "v", at, buckets).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k].n == want[k].n and (got[k].q == want[k].q or got[k].q == pytest.approx(want[k].q, rel=1e-12, nan_ok=True)), k
+
+
+def test_bounded_median_as_a_chart(spark):
+    df = spark.createDataFrame([("ab"[i % 2], float(i * 37 % 101)) for i in range(400)], "k string, v double")
+    specs = [{"name": n, "formula_type": "group_median", "group_by": "k", "value_column": "v", "bounded": n == "b", "filter_condition": "v > 10"} for n in "ab"]
+    out = kpi.compute(df, specs)
+    assert sorted(map(tuple, out.charts["a"].collect())) == sorted(map(tuple, out.charts["b"].collect())) and not out.errors

@@ -12,6 +12,7 @@ from ..functions.coerce import col, label, num
 from ..functions.formula import compile_formula
 from ..sources.scratch import stored
 from .profile import value_bytes
+from .quantiles import exact_quantiles
 
 # Limits and names of visuals.
 DEFAULT_TOP = 20
@@ -159,7 +160,17 @@ def _input(df: DataFrame, spec: dict) -> Column:
 
 def grouped_chart(df: DataFrame, spec: dict) -> DataFrame:
     """(key, label, value) of one grouped spec, in its visual's order."""
-    return _chart(grouped(df, spec["group_by"], {"value": measure(df, spec)}), spec, "value")
+    return _chart(_bounded_median(df, spec) if _is_bounded(spec) else grouped(df, spec["group_by"], {"value": measure(df, spec)}), spec)
+
+
+def _is_bounded(spec: dict) -> bool:
+    return spec["formula_type"] == "group_median" and bool(spec.get("bounded"))
+
+
+def _bounded_median(df: DataFrame, spec: dict) -> DataFrame:
+    """(key, value): exact medians of groups of any size, by rounds over the table instead of a group's values in memory."""
+    rows = df.select(_key(df, spec["group_by"]).alias("key"), _input(df, spec).alias("v"))
+    return exact_quantiles(rows, "key", "v", [0.5]).select("key", F.col("q")[0].alias("value"))
 
 
 def _chart(groups: DataFrame, spec: dict, name: str = "value") -> DataFrame:
@@ -247,7 +258,7 @@ def _columns_of(spec: dict) -> list[str]:
 
 def compute(df: DataFrame, specs: list[dict]) -> KpiResult:
     """Every spec; cards share one pass, and grouped charts of any keys one scan and one shuffle. A bad spec becomes an error, the others go on."""
-    out, plain, by_key = KpiResult(cards(df, [])), [], defaultdict(list)
+    out, plain, alone, by_key = KpiResult(cards(df, [])), [], [], defaultdict(list)
     for spec in specs:
         name, kind = spec.get("name"), spec.get("formula_type")
         spec = {**spec, "x_column": spec.get("x_column") or spec.get("x"), "y_column": spec.get("y_column") or spec.get("y")}
@@ -260,7 +271,7 @@ def compute(df: DataFrame, specs: list[dict]) -> KpiResult:
             elif kind in GROUP_TYPES:
                 top_n(spec)
                 measure(df, spec)
-                by_key[spec["group_by"]].append(spec)
+                (alone if _is_bounded(spec) else by_key[spec["group_by"]]).append(spec)
             elif kind == "histogram":
                 out.charts[name] = histogram(df, spec["column"], int(spec.get("bins") or DEFAULT_BINS))
             elif kind == "scatter":
@@ -279,6 +290,8 @@ def compute(df: DataFrame, specs: list[dict]) -> KpiResult:
         except Exception as e:
             out.errors.append({"name": name, "formula_type": kind, "error": str(e).splitlines()[0]})
     out.cards = cards(df, plain)
+    for spec in alone:
+        out.charts[spec["name"]] = grouped_chart(df, spec)
     if sum(map(len, by_key.values())) == 1:
         ((spec,),) = by_key.values()
         out.charts[spec["name"]] = grouped_chart(df, spec)

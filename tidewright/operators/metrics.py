@@ -10,6 +10,7 @@ from ..functions.formula import date_diff
 from ..sources.scratch import stored
 from .kpi import aggregate, grouped
 from .profile import row_digest
+from .quantiles import exact_quantiles
 
 # Thresholds of warnings and of chart suitability.
 HIGH_MISSING = 60.0
@@ -95,13 +96,17 @@ def pivot(df: DataFrame, x: str, group: str, value: str, groups: list, kind: str
     return grouped(df, x, {str(g): aggregate(kind, num(df, value), col(group) == F.lit(g)) for g in groups}, ["x"])
 
 
-def box_stats(df: DataFrame, group_by: str, value: str, approx: bool = False) -> DataFrame:
-    """key, min, q1, median, q3, max. Exact quartiles count each different value of a group; approx bounds their memory."""
-    v = num(df, value)
-    at = [0.25, 0.5, 0.75]
-    q = F.percentile_approx(v, at, 10_000) if approx else F.percentile(v, at)
-    rows = df.groupBy(col(group_by).alias("key")).agg(F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    return rows.select("key", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "max")
+def box_stats(df: DataFrame, group_by: str, value: str, approx: bool = False, bounded: bool = False) -> DataFrame:
+    """key, min, q1, median, q3, max. Exact quartiles count each different value of a group in memory; bounded finds the same by
+    rounds over the table, in bounded memory; approx takes one pass in bounded memory."""
+    at, names = [0.25, 0.5, 0.75], ("q1", "median", "q3")
+    if bounded:
+        rows = exact_quantiles(df, group_by, value, at)
+    else:
+        v = num(df, value)
+        q = F.percentile_approx(v, at, 10_000) if approx else F.percentile(v, at)
+        rows = df.groupBy(col(group_by).alias("key")).agg(F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
+    return rows.select("key", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "max")
 
 
 def top_share(df: DataFrame, columns: list[str]) -> DataFrame:

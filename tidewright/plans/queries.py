@@ -798,3 +798,16 @@ def read_encodings(spark, sf_dir):
         read = io.read_table(spark, f"{folder}/{encoding}.csv", "auto")
         out = read if out is None else out.union(read)
     return out
+
+
+@query("SELECT l_returnflag AS key, round(median(l_extendedprice), 4) AS value FROM lineitem GROUP BY 1")
+def median_selection(spark, sf_dir):
+    """Medians of groups of many different values, none of which is gathered."""
+    spec = {"formula_type": "group_median", "group_by": "l_returnflag", "value_column": "l_extendedprice", "bounded": True}
+    return _rounded(kpi.grouped_chart(table(spark, sf_dir, "lineitem"), spec).select("key", "value"), 4, "value")
+
+
+@query("SELECT o_orderpriority AS key, round(min(o_totalprice), 4) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, round(max(o_totalprice), 4) AS max FROM orders GROUP BY 1")
+def box_selection(spark, sf_dir):
+    """Quartiles by rounds over the table, in bounded memory."""
+    return _rounded(metrics.box_stats(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", bounded=True), 4, "min", "q1", "median", "q3", "max")
