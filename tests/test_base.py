@@ -373,3 +373,37 @@ def test_bounded_median_as_a_chart(spark):
     specs = [{"name": n, "formula_type": "group_median", "group_by": "k", "value_column": "v", "bounded": n == "b", "filter_condition": "v > 10"} for n in "ab"]
     out = kpi.compute(df, specs)
     assert sorted(map(tuple, out.charts["a"].collect())) == sorted(map(tuple, out.charts["b"].collect())) and not out.errors
+
+
+def test_merged_sketches_stand_for_the_union(spark):
+    rows = [(i % 900 if i % 5 else None, f"t{i % 31}" if i % 3 else "", f"2024-01-{1 + i % 28:02d}", float("nan") if i % 4 else i / 7) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a int, b string, d string, f double")
+    parts = [df.where(F.col("a") < 300), df.where(F.col("a") >= 300), df.where("a is null"), df.limit(0)]
+    made = profile.sketches(parts[0])
+    for part in parts[1:]:
+        made = made.union(profile.sketches(part))
+    got = {r.name: r for r in profile.described(profile.merged(made)).collect()}
+    want = {r.name: r for r in profile.profile(df).collect()}
+    for name, w in want.items():
+        g = got[name]
+        for c in ("detected_type", "row_count", "missing_count", "missing_percent", "min", "max"):
+            assert g[c] == w[c], (name, c)
+        assert (g.mean is None) == (w["mean"] is None) and (g.mean is None or g.mean == pytest.approx(w["mean"]))
+        assert abs(g.unique_count - w.unique_count) <= 0.05 * w.unique_count + 1
+    middle = sorted(r[0] for r in rows if r[0] is not None)[2000]
+    assert got["a"].quantiles[1] == pytest.approx(middle, abs=30) and str(got["d"].min_date)[:10] == "2024-01-01"
+
+
+def test_first_values_of_every_column(spark):
+    rows = [(i, str(i) if i >= 50 else f"x{i}", None if i < 30 else "2024-01-01" if i < 45 else "soon", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, t string, d string, n string").repartition(9)
+    got = {r.name: (r.n, r.numbers, r.dates) for r in profile.first_values(df, ["i"], 60, ["t", "d", "n", "i"]).collect()}
+    assert got == {"t": (60, 10, 0), "d": (60, 0, 15), "n": (0, 0, 0), "i": (60, 60, 0)}
+
+
+def test_profile_of_a_batch(spark, tmp_path):
+    for name, text in (("a", "k,v\nx,1\ny,2\n"), ("b", "k,v\nx,7\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    jobs.batch(spark, str(tmp_path), str(tmp_path / "out"))
+    got = {r.name: (r.row_count, r.unique_count, r.min, r.max) for r in jobs.batch_profile(spark, str(tmp_path / "out"), ["a.csv", "b.csv"]).collect()}
+    assert got == {"k": (3, 2, None, None), "v": (3, 3, 1.0, 7.0)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,71 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
     counts = df.groupBy(row_digest(df).alias("d")).agg(F.count("*").alias("n"))
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.lit(len(df.columns)).cast("long").alias("column_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+#: Binary logarithm of the registers of a distinct sketch: estimates within about 1.6 %.
+_DISTINCT_BITS = 12
+_QUANTILE_SIZE = 200
+
+
+def sketches(df: DataFrame) -> DataFrame:
+    """What can be merged of a table's profile: one row a column with counts, sums, ranges, and sketches of its different values and of its numbers.
+
+    From one pass; each row takes a few kilobytes whatever the table's size.
+    """
+    df = nan_to_null(df)
+    exprs, rows = [F.count("*").alias("rows")], []
+    for i, c in enumerate(df.columns):
+        n, d = num(df, c), dt(df, c)
+        present = F.when(col(c).isNotNull(), F.concat(F.lit("v").cast("binary"), value_bytes(df, c)))
+        made = {
+            "present": F.count(col(c)), "numbers": F.count(n), "dates": F.count(d), "total": F.sum(n), "min": F.min(n), "max": F.max(n), "first": F.min(d), "last": F.max(d),
+            "values_": F.hll_sketch_agg(present, _DISTINCT_BITS), "numbers_": F.kll_sketch_agg_double(n, F.lit(_QUANTILE_SIZE)),
+        }
+        exprs += [e.alias(f"{k}{i}") for k, e in made.items()]
+        rows.append(F.struct(F.lit(c).alias("name"), F.lit(i).alias("position"), F.col("rows").alias("rows"), *[F.col(f"{k}{i}").alias(k) for k in made]))
+    return df.agg(*exprs).select(F.inline(F.array(*rows)))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Rows of sketches of several tables (a union of them, or what was stored), one for each column name: as if of all rows together. A column that
+    a table does not have is missing there only from the values, not from the rows: tables count the rows that have the column."""
+    sums = [F.sum(c).alias(c) for c in ("rows", "present", "numbers", "dates", "total")]
+    ends = [f(c).alias(c) for f, c in ((F.min, "min"), (F.max, "max"), (F.min, "first"), (F.max, "last"))]
+    return parts.groupBy("name").agg(F.min("position").alias("position"), *sums, *ends, F.hll_union_agg("values_").alias("values_"), F.kll_merge_agg_double("numbers_").alias("numbers_"))
+
+
+def described(parts: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """The profile that sketches stand for: name, detected_type, counts, unique_count (estimated), range and mean of numbers, quantiles (estimated), range of dates."""
+    number_rate, date_rate = F.col("numbers") / F.col("present"), F.col("dates") / F.col("present")
+    kind = type_of(T.StringType(), F.when(F.col("present") > 0, number_rate), F.when(F.col("present") > 0, date_rate))
+    rows = parts.withColumn("detected_type", kind)
+    number, date, missing = F.col("detected_type") == "number", F.col("detected_type") == "datetime", F.col("rows") - F.col("present")
+    # a sketch of no numbers has no quantiles
+    places = F.when(number & (F.col("numbers") > 0), F.array(*[F.kll_sketch_get_quantile_double("numbers_", F.lit(q)) for q in quantiles]))
+    return rows.select(
+        "name", "position", "detected_type", F.col("rows").alias("row_count"), missing.alias("missing_count"), F.bround(missing / F.greatest("rows", F.lit(1)) * 100, 2).alias("missing_percent"), F.hll_sketch_estimate("values_").alias("unique_count"),
+        F.when(number, F.col("min")).alias("min"), F.when(number, F.col("max")).alias("max"), F.when(number, F.col("total") / F.col("numbers")).alias("mean"), places.alias("quantiles"), F.when(date, F.col("first")).alias("min_date"), F.when(date, F.col("last")).alias("max_date"),
+    )
+
+
+def first_values(df: DataFrame, order_by: list[str], k: int, columns: list[str] | None = None) -> DataFrame:
+    """(name, n, numbers, dates): of the first k non-null values of every column, in the table's order, how many are numbers and dates.
+
+    One pass: each task keeps the k first of each column it has seen, and the k first of those remain. Rows of equal order
+    are told apart by their whole content.
+    """
+    names = columns or df.columns
+    order = F.struct(*[F.struct(col(c).isNull().alias("none"), col(c).alias("v")) for c in order_by], row_digest(df).alias("row"))
+    cells = F.array(*[F.when(col(c).isNotNull(), F.struct(F.lit(c).alias("name"), F.struct(order.alias("order"), num(df, c).isNotNull().alias("number"), dt(df, c).isNotNull().alias("date")).alias("cell"))) for c in names])
+    seen = df.select(F.inline(F.filter(cells, lambda c: c.isNotNull())))
+    # the first k of each task, then of all: a bounded number of rows for each column and task
+    part = Window.partitionBy("name", "task").orderBy(F.col("cell.order"))
+    some = seen.withColumn("task", F.pmod(F.xxhash64("cell.order.row"), F.lit(_PARTS))).withColumn("at", F.row_number().over(part)).where(F.col("at") <= k)
+    first = some.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy(F.col("cell.order")))).where(F.col("at") <= k)
+    counts = first.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("cell.number").cast("long")).alias("numbers"), F.sum(F.col("cell.date").cast("long")).alias("dates"))
+    return df.sparkSession.createDataFrame([(c,) for c in names], "name string").join(F.broadcast(counts), "name", "left").na.fill(0)
+
+
+#: Parts in which the first values of a column are looked for before those of all parts are compared.
+_PARTS = 256

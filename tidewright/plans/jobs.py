@@ -75,6 +75,7 @@ def save(result: JobResult, folder: str) -> None:
     spark = result.enriched.sparkSession
     write_table(result.cleaned.table, f"{folder}/cleaned")
     write_table(result.enriched, f"{folder}/enriched")
+    write_table(profile.sketches(result.enriched), f"{folder}/sketches")
     about = [(name, *[m.get(k) for k in ("type", "x", "y", "value", "aggregation", "top_n", "bins")]) for name, m in result.kpis.metadata.items()]
     errors = [(e["name"], e["formula_type"], e["error"]) for e in result.kpis.errors]
     small = {
@@ -97,6 +98,12 @@ def tables_in(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[st
     return sorted(f.getPath().toString() for f in listed if f.getPath().getName().lower().endswith(suffix))
 
 
+def batch_profile(spark: SparkSession, out: str, names: list[str]) -> DataFrame:
+    """The profile of all the tables of a batch together, from the sketches that their jobs left: no table is read again."""
+    parts = spark.read.parquet(*[f"{out}/{name.rsplit('.', 1)[0]}/sketches" for name in names])
+    return profile.described(profile.merged(parts))
+
+
 def batch(spark: SparkSession, paths: list[str] | str, out: str, schema_plan: dict | None = None, kpi_plan: dict | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """One job a table, several at a time, each in a scheduler pool of its own; the manifest is in the tables' order. A failure is a row of it and
     the others go on. A folder stands for its CSV tables, which are read as UTF-8 or, where they are none, as Latin-1."""

@@ -811,3 +811,29 @@ def median_selection(spark, sf_dir):
 def box_selection(spark, sf_dir):
     """Quartiles by rounds over the table, in bounded memory."""
     return _rounded(metrics.box_stats(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", bounded=True), 4, "min", "q1", "median", "q3", "max")
+
+
+@query("""SELECT name, row_count, missing_count, round(mean, 4) AS mean, true AS near FROM (
+  SELECT 'o_totalprice' AS name, count(*) AS row_count, count(*) - count(o_totalprice) AS missing_count, avg(o_totalprice) AS mean FROM orders
+  UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), NULL FROM orders UNION ALL SELECT 'o_custkey', count(*), count(*) - count(o_custkey), avg(o_custkey) FROM orders)""")
+def profile_merged(spark, sf_dir):
+    """The profile of a table from the stored sketches of its parts, whose estimates of different values are held against exact counts."""
+    orders = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus", "o_custkey")
+    parts = [orders.where(f"o_custkey % 3 = {i}") for i in range(2)] + [orders.where("coalesce(o_custkey % 3, 2) = 2")]
+    folder = _folder(spark)
+    for i, part in enumerate(parts):
+        io.write_table(profile.sketches(part), f"{folder}/{i}")
+    made = profile.described(profile.merged(spark.read.parquet(*[f"{folder}/{i}" for i in range(3)])))
+    exact = profile.distinct_counts(orders)
+    near = made.join(exact, "position").withColumn("near", F.abs(F.col("unique_count") - F.col("unique")) <= 0.06 * F.col("unique") + 1)
+    return near.select("name", "row_count", "missing_count", F.round("mean", 4).alias("mean"), "near")
+
+
+@query("""WITH t AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'none' ELSE o_custkey::VARCHAR END AS code FROM (SELECT DISTINCT o_orderkey, o_custkey, o_orderpriority FROM orders)),
+c AS (SELECT code FROM t WHERE code IS NOT NULL ORDER BY i LIMIT 100), p AS (SELECT o_orderpriority FROM t WHERE o_orderpriority IS NOT NULL ORDER BY i LIMIT 100)
+SELECT 'code' AS name, count(*) AS n, count(try_cast(code AS DOUBLE)) AS numbers FROM c UNION ALL SELECT 'o_orderpriority', count(*), count(try_cast(o_orderpriority AS DOUBLE)) FROM p""")
+def first_values(spark, sf_dir):
+    """Numbers among the first hundred values of each column in the table's order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").distinct()
+    code = F.expr("CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'none' ELSE cast(o_custkey AS string) END")
+    return profile.first_values(orders.withColumn("code", code), ["o_orderkey"], 100, ["code", "o_orderpriority"]).select("name", "n", "numbers")
