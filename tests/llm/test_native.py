@@ -244,3 +244,24 @@ def test_links_over_lines_and_relative_links(spark):
     links = {"next.html": "http://h/a/next.html", "?id=2": "http://h/a/b?id=2", "../x?q=../y": "http://h/x?q=../y", "../../../x": "http://h/x", "./": "http://h/a/", "..": "http://h/", "c/./d/../e": "http://h/a/c/e", "/w": "http://h/w", "mailto:x@y": None}
     pages = spark.createDataFrame([("http://h/a/b?k", f'<link rel=canonical href="{k}">') for k in links], "url string, html string")
     assert sorted(r.dst for r in url_rules.link_edges(pages).collect()) == sorted(v for v in links.values() if v)
+
+
+def test_random_tokens_beside_many_slugs(spark):
+    """Keys are found whether they are rare or not, however many joined words stand in the same corpus."""
+    rng = random.Random(11)
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    words = [w.lower() for d in docs for w in d.split() if w.isalpha() and w.isascii() and 3 < len(w) < 12]
+    for n_keys, n_slugs in ((10, 1000), (100, 1000)):
+        planted, rows = {}, []
+        for i, text in enumerate(docs):
+            if i < n_slugs:
+                text += " see " + "-".join(rng.sample(words, 8))[:44].strip("-") + " there"
+            if i % 7 == 3 and len(planted) < n_keys:
+                planted[i] = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(44))
+                text += f" keep {planted[i]} here"
+            rows.append((i, text))
+        texts = dict(rows)
+        out = {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.random} for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        hits = sum(token in out[i] for i, token in planted.items())
+        false = sum(len(found - {planted.get(i)}) for i, found in out.items())
+        assert hits >= 0.9 * n_keys and false <= max(1, 0.05 * (hits + false))
