@@ -34,6 +34,8 @@ from .crf import LinearChainCRF
 
 #: Pages of the table that the model is fitted on, at most (those of smallest hash).
 TRAIN_PAGES = 400
+#: Blocks of a page that the model is fitted on, at most: pages of more are not chosen for it.
+TRAIN_BLOCKS = 2000
 
 # Kinds of HTML elements.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics".split())
@@ -117,7 +119,7 @@ class _Blocks(HTMLParser):
             self.end_head()
         if tag in VOID or tag in INLINE:
             self.links += tag == "a"
-            if tag in ("br", "hr", "img", "input"):
+            if tag in ("br", "hr"):
                 self.text.append(" ")
             if tag == "hr":
                 self.flush()
@@ -219,6 +221,9 @@ def _labelled() -> list[str]:
         "foot": '<div id="footer"><p>-© 2020 The Daily Harbour</p><p>-Terms and privacy</p></div>',
         "comments": f'<section class="comments"><h2>-3 comments</h2><p>-I was there, and it rained much longer than that. {more}</p><div class="comment"><p>-{prose}</p></div></section>',
         "discussion": f'<div id="discussion"><p>-Well said. {prose}</p><ul><li>-{more}</li></ul></div>',
+        "flat nav": "<nav><a>-Home</a> <a>News</a> <a>Contact us</a></nav>",
+        "links": "<div><a>-Home</a> <a>News</a> | <a>About</a></div>",
+        "copyright": "<div><p>-© 2020 The Daily Harbour</p></div>",
         "share": '<div class="share"><ul><li>-Share this</li><li>-Print</li></ul></div>',
     }
     article = f"<h1>+Rain at the harbour</h1><p>+{prose}</p><h2>+Afternoon</h2><p>+{more}</p><blockquote>+It always clears.</blockquote><ul><li>+Nets mended: four.</li><li>+Boats painted: two.</li></ul><table><tr><td>+Rain</td><td>+12 mm</td></tr></table><pre>+tide = 4.2</pre><p>+{more}</p>"
@@ -231,6 +236,22 @@ def _labelled() -> list[str]:
         pages.append(f"<body>{part}{box.format(article)}{other}</body>")
         pages.append(f"<body>{other}{box.format(article[:half] + part + article[half:])}{third}</body>")
         pages.append(f"<body>{third}{box.format(article + part)}{rest['foot']}</body>")
+    # articles of one block, with lists of links, and with a headline in a header of their own
+    flat = f"+{prose}<br><br>{more}<br>{prose}"
+    names = "<ul>" + "".join(f"<li><a>+{n}</a></li>" for n in ("Anna Berg", "The harbour of Oban", "Nets and ropes", "Tom Lind", "North pier", "Rain", "Ida Holm", "Paint")) + "</ul>"
+    linked = article.replace("<h2>", f"<p>+{prose}</p>{names}<h2>")
+    headed = article.replace("<h1>+Rain at the harbour</h1>", "<header><h1>+Rain at the harbour</h1><p>+A morning on land</p></header>")
+    for k, box in enumerate(boxes):
+        for part in (parts[(3 * k) % len(parts)], parts[(3 * k + 7) % len(parts)]):
+            pages.append(f"<body>{part}{box.format(flat)}{parts[(k + 4) % len(parts)]}</body>")
+            pages.append(f"<body>{part}{box.format(linked)}{rest['foot']}</body>")
+            pages.append(f"<body>{rest['nav']}{part}{box.format(linked)}</body>")
+        pages.append(f"<body>{box.format(flat)}</body>")
+    for k, part in enumerate(parts):
+        pages.append(f"<body>{part}<div>{flat}</div>{rest[('footer', 'foot', 'copyright')[k % 3]]}</body>")
+    for box in boxes[:2]:
+        pages.append(f"<body>{rest['header']}{box.format(headed)}{rest['footer']}</body>")
+        pages.append(f"<body>{rest['nav']}{box.format(headed)}{rest['aside']}</body>")
     return pages
 
 
@@ -245,7 +266,7 @@ def fit(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES) -> Linea
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [(b, own_labels(b)) for b in map(leaf_blocks, batch.column(0).to_pylist())]
-            kept = [(block_features(b).tobytes(), bytes(y)) for b, y in found if b and y is not None]
+            kept = [(block_features(b).tobytes(), bytes(y)) for b, y in found if 0 < len(b) <= TRAIN_BLOCKS and y is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.binary()), pa.array([y for _, y in kept], pa.binary())], names=["x", "y"])
 
     # the least hashes of different pages are found first, so that only chosen pages move
