@@ -163,7 +163,10 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def trusted(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """edges (pattern, instance, seed: boolean), distinct -> trusted patterns (pattern, confidence) and scores of unknown instances (instance, score)."""
+    """edges (pattern, instance, seed: boolean), distinct -> trusted patterns (pattern, confidence) and scores of unknown instances (instance, score).
+
+    Rounds go on until one trusts no further pattern and lifts no further instance to MIN_SCORE.
+    """
     with passing(edges.sparkSession):
         seen = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern")
         graph = written(edges.join(seen, "pattern").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-graph")
@@ -174,7 +177,8 @@ def trusted(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame,
             good = written(rated.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "confidence"), "good-patterns")
             unknown = graph.where("not seed").join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
             scores = written(unknown, "instance-scores")
-            before, mark = mark, (*good.agg(F.count("*"), F.round(F.sum("confidence"), 6)).first(), *scores.agg(F.count("*"), F.round(F.sum("score"), 6)).first())
+            # whole numbers that can only rise: patterns trusted, instances that they name, instances that may be reported
+            before, mark = mark, (good.count(), *scores.agg(F.count("*"), F.count_if(F.col("score") >= MIN_SCORE)).first())
             if mark == before:
                 break
         else:
