@@ -32,6 +32,8 @@ from .common import alone, col, slices, table, written
 VOCABULARY = "byte_bpe_50k.json"
 #: Words, and pieces between spaces, of one generation of a worker's memos, and the longest ones that they keep. Cost only.
 MEMO_WORDS, MEMO_PIECES, MEMO_LETTERS = 250_000, 150_000, 256
+#: The same where texts and ids are both at hand in a worker, which takes memory of its own.
+SMALL_MEMO = 100_000, 60_000
 
 # The pattern of the public byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,7 +78,7 @@ class _Ragged(Exception):
 class ForcedBoundaryBPE:
     """Encoder and decoder of one vocabulary, given as the text of its tokenizers file."""
 
-    def __init__(self, spec: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, spec: str, memo_words: int = MEMO_WORDS, memo_pieces: int = MEMO_PIECES):
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
@@ -101,7 +103,7 @@ class ForcedBoundaryBPE:
         self.width = 2 if len(self.token_bytes) <= 1 << 16 else 4
         self._letter = {2: "H", 4: "I"}[self.width]
         self._special_packed = {t: self.pack([i]) for t, i in self.special.items()}
-        self.memo, self.pieces = _Memo(self._pack_word, memo_words), _Memo(self._pack_spaced, min(memo_words, MEMO_PIECES))
+        self.memo, self.pieces = _Memo(self._pack_word, memo_words), _Memo(self._pack_spaced, min(memo_words, memo_pieces))
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self._letter}", *ids)
@@ -166,16 +168,16 @@ class ForcedBoundaryBPE:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-_OPEN: dict[int, ForcedBoundaryBPE] = {}
+_OPEN: dict[tuple, ForcedBoundaryBPE] = {}
 
 
-def opened(spec: str) -> ForcedBoundaryBPE:
+def opened(spec: str, *memo: int) -> ForcedBoundaryBPE:
     """The worker's encoder of that vocabulary, with its memo."""
     alone("bpe", _OPEN.clear)
-    key = hash(spec)
+    key = (hash(spec), *memo)
     if key not in _OPEN:
         _OPEN.clear()
-        _OPEN[key] = ForcedBoundaryBPE(spec)
+        _OPEN[key] = ForcedBoundaryBPE(spec, *memo)
     return _OPEN[key]
 
 
@@ -230,7 +232,7 @@ def round_trip(docs: DataFrame, name: str, text: str = "text", path: str | None
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = opened(sent.value)
+        bpe = opened(sent.value, *SMALL_MEMO)
         for batch in slices(batches):
             ids, each = bpe.encode_all(batch.to_pylist())
             spelled = [bpe.decode(x.tolist()) for x in each]

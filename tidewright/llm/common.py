@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -120,6 +121,9 @@ def alone(owner: str, forget: Callable[[], None] = lambda: None) -> None:
         _HOLDER.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:  # what was freed goes back to the system, for the executor's other processes
+            trim(0)
     _HOLDER[owner] = forget
 
 
