@@ -407,3 +407,13 @@ def test_profile_of_a_batch(spark, tmp_path):
     jobs.batch(spark, str(tmp_path), str(tmp_path / "out"))
     got = {r.name: (r.row_count, r.unique_count, r.min, r.max) for r in jobs.batch_profile(spark, str(tmp_path / "out"), ["a.csv", "b.csv"]).collect()}
     assert got == {"k": (3, 2, None, None), "v": (3, 3, 1.0, 7.0)}
+
+
+def test_backticks_in_names_and_texts(spark):
+    df = spark.createDataFrame([(1, 2, 3, "a`b")], "`unit price` int, column_0_ int, column_1_ int, t string")
+    made = lambda text: derive(df, "out", text).first()["out"]
+    assert made("`unit price` + column_0_ * `column_1_`") == 7.0
+    assert made("t == 'a`b'") is True and made("contains(t, \"`\") and `unit price` == 1") is True
+    assert made("if(`unit price` > 0, 'it\\'s `ok`', '')") == "it's `ok`"
+    for bad in ("`unit price + 1", "t == `", "`gone` + 1"):
+        assert check_formula(df, bad)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -300,15 +301,26 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., Value]]] = {
 _MARK = "call_of_"
 
 
-def _prepared(formula: str) -> tuple[str, dict[str, str]]:
-    """The formula with `if(` and names between backticks made parseable, and what the made-up names stand for."""
-    parts, names = formula.split("`"), {}
-    if len(parts) % 2 == 0:
-        raise FormulaError("a backtick is left open")
-    for i in range(1, len(parts), 2):
-        names[f"column_{i}_"] = parts[i]
-        parts[i] = f"column_{i}_"
-    plain = "".join(parts).strip()
+#: A text literal, a name between backticks, or a backtick without another.
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`([^`]*)`|`""", re.S)
+
+
+def _prepared(formula: str, taken: set[str]) -> tuple[str, dict[str, str]]:
+    """The formula with `if(` and names between backticks made parseable, and what the made-up names, none of which is taken, stand for."""
+    names: dict[str, str] = {}
+
+    def named(m: re.Match) -> str:
+        if not m[0].startswith("`"):
+            return m[0]
+        if m[1] is None:
+            raise FormulaError("a backtick is left open")
+        name = f"column_{len(names)}_"
+        while name in taken or name in formula:
+            name += "_"
+        names[name] = m[1]
+        return name
+
+    plain = _QUOTED.sub(named, formula).strip()
     try:
         tokens = list(tokenize.generate_tokens(io.StringIO(plain).readline))
     except (tokenize.TokenError, SyntaxError) as e:
@@ -321,7 +333,7 @@ def compile_formula(df: DataFrame, formula: str, as_of: str | None = None) -> Va
     """The formula as a column of df, with its type; FormulaError if it is not allowed or does not fit."""
     if not isinstance(formula, str) or not formula.strip():
         raise FormulaError("a formula is a text that is not empty")
-    plain, names = _prepared(formula)
+    plain, names = _prepared(formula, set(df.columns))
     try:
         tree = ast.parse(plain, mode="eval")
     except (SyntaxError, ValueError) as e:
