@@ -33,7 +33,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words, and pieces between spaces, of one generation of a worker's memos, and the longest ones that they keep. Cost only.
 MEMO_WORDS, MEMO_PIECES, MEMO_LETTERS = 250_000, 150_000, 256
 #: The same where texts and ids are both at hand in a worker, which takes memory of its own.
-SMALL_MEMO = 100_000, 60_000
+SMALL_MEMO = 50_000, 30_000
 
 # The pattern of the public byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

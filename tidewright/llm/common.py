@@ -111,6 +111,15 @@ def slices(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
     for batch in batches:
         for i in range(0, len(batch) or 1, rows):
             yield batch.slice(i, rows)
+    _give_back()
+
+
+def _give_back() -> None:
+    """What was freed in this process goes back to the system, for the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def alone(owner: str, forget: Callable[[], None] = lambda: None) -> None:
@@ -120,10 +129,7 @@ def alone(owner: str, forget: Callable[[], None] = lambda: None) -> None:
             drop()
         _HOLDER.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:  # what was freed goes back to the system, for the executor's other processes
-            trim(0)
+        _give_back()
     _HOLDER[owner] = forget
 
 

@@ -124,7 +124,8 @@ def _hashed(docs: DataFrame, shingle: int) -> DataFrame:
 def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of the most common shingles of an eighth of the texts: a bounded number of rows."""
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
-    counts = written(_hashed(sample, shingle).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
+    # every set has a hash; a plain explode would add a filter on the set, and so make each set twice
+    counts = written(_hashed(sample, shingle).select(F.explode_outer("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
     least, total = None, 0
     for n, many in sorted(counts.groupBy("n").count().collect(), reverse=True):
         total += many
