@@ -32,7 +32,7 @@ from .common import alone, col, slices, table, written
 VOCABULARY = "byte_bpe_50k.json"
 #: Words, and pieces between spaces, of one generation of a worker's memos, and the longest ones that they keep. Cost only.
 MEMO_WORDS, MEMO_PIECES, MEMO_LETTERS = 250_000, 150_000, 256
-#: The same where texts and ids are both at hand in a worker, which takes memory of its own.
+#: The same where an executor's memory is short, since other stages have used it.
 SMALL_MEMO = 50_000, 30_000
 
 # The pattern of the public byte-level pre-tokenizer.
@@ -225,14 +225,14 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
     return docs.withColumn(text, F.arrow_udf(run, "string")(col(ids)))
 
 
-def round_trip(docs: DataFrame, name: str, text: str = "text", path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, name: str, text: str = "text", path: str | None = None, memo: tuple[int, ...] = ()) -> DataFrame:
     """docs with the struct column `name`: ids, and decoded, the text that those ids spell. One worker a task does both."""
     if name in docs.columns:
         raise ValueError(f"the column {name} exists")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = opened(sent.value, *SMALL_MEMO)
+        bpe = opened(sent.value, *memo)
         for batch in slices(batches):
             ids, each = bpe.encode_all(batch.to_pylist())
             spelled = [bpe.decode(x.tolist()) for x in each]
@@ -242,9 +242,9 @@ def round_trip(docs: DataFrame, name: str, text: str = "text", path: str | None
     return docs.withColumn(name, F.arrow_udf(run, "struct<ids: array<int>, decoded: string>")(col(text)))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_tokens and the digests of ids and decoded text. A table, a few dozen bytes a row."""
-    rows = round_trip(docs.select("doc_id", "text"), "b").select(
+def digests(docs: DataFrame, memo: tuple[int, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_tokens and the digests of ids and decoded text. A table, a few dozen bytes a row. memo: its words and pieces, if not the usual ones."""
+    rows = round_trip(docs.select("doc_id", "text"), "b", memo=memo).select(
         "doc_id",
         F.size("b.ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("b.ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
