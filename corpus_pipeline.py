@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: token counts and digests of the ids and of the text they decode to; null texts are empty. Empty tables pass through all stages."""
-    return bpe.digests(docs)
+    return bpe.digests(docs, bpe.SMALL_MEMO)
 
 
 STAGES = [
