@@ -97,6 +97,45 @@ def test_one_large_group_of_near_copies(spark):
     assert found_groups(spark, rows) == want
 
 
+def templates(n):
+    """Texts of one sentence with one word changed: mostly unlike one another, all in the same few buckets."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(n):
+        own = [f"w{k}" for k in range(40)]
+        own[rng.integers(40)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_texts_of_one_template(spark, monkeypatch):
+    """Exact groups, and compared pairs that grow with the texts, not with their square."""
+    compared = []
+    plain = similar.written
+
+    def watched(df, what, **options):
+        out = plain(df, what, **options)
+        compared.extend([out.count()] * (what == "pairs"))
+        return out
+
+    monkeypatch.setattr(similar, "written", watched)
+    rows = templates(400)
+    want, near = exact_groups(rows)
+    assert near > 400 and found_groups(spark, rows) == want
+    compared.clear()
+    found_groups(spark, templates(3000))
+    assert sum(compared) < 2 * 3000
+
+
+def test_rows_equal_in_every_column(spark):
+    """Copies of a row beside near copies of it: all are one group, and each pair is compared once."""
+    rows = [r for r in templates(30) for _ in range(20)] + [(100, " ".join(f"w{k}" for k in range(40)))]
+    want, _ = exact_groups(rows)
+    assert found_groups(spark, rows) == want
+    kept = similar.one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def block_edits(rng, kind, words, share):
     n = len(words)
     fresh = [f"n{rng.integers(1 << 40)}" for _ in range(n)]

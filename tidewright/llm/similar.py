@@ -9,8 +9,10 @@ the similarity links and nothing of it or above is lost.
 2. Shared prefixes: in any one order of all shingles, two sets of similarity s or more share one of the
    first n - ceil(s * n) + 1 of the n shingles of either. Shingles that are common come last in the
    order (by their counts in an eighth of the texts; the order decides on cost only), so that a passage
-   in many texts is in few prefixes. Sets of one bucket (shingle) are first compared with a few leaders,
-   then all pairs of a bucket that are still in different groups are compared. No bucket is cut.
+   in many texts is in few prefixes. Sets of one bucket (shingle) are first compared with a few leaders.
+   While crowded buckets hold more pairs of different groups than there are rows, they are led again, by
+   sets outside their largest group, as long as that halves those pairs; then all pairs of a bucket that
+   are still in different groups are compared. No bucket is cut.
 
 Verification has two steps. A set's bitmap has 4 to 8 bits a shingle; bits in which two bitmaps differ
 are at most as many as shingles in which the sets differ, which rules out nearly all unlike pairs without
@@ -38,8 +40,8 @@ from .simhash import _LOWER, _WORD, links, majority
 SIMILARITY, SHINGLE = 0.8, 5
 #: Bits in which the fingerprints of the first search may differ.
 MAX_DISTANCE = 2
-#: Leaders of a bucket in a round, and rounds, before all pairs that are left between different groups are compared. Cost only.
-LEADERS, LEADER_ROUNDS = 3, 1
+#: Leaders of a bucket in a round, and how many pairs a row a bucket may have left before it counts as crowded. Cost only.
+LEADERS, CROWDED = 3, 4
 #: One text of so many is counted for the order; so many of the most common shingles are told from the rest. Cost only.
 ORDER_SHARE, ORDER_SHINGLES = 8, 100_000
 #: Words whose hashes a worker keeps.
@@ -167,11 +169,17 @@ def _folded(bits: Column, size: Column) -> Column:
     return F.when(F.size(bits) <= size, bits).otherwise(F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseOR(y)))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(p) of the sets in pairs (a, b)."""
+    return pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct()
+
+
 class _Search:
     """What the rounds of one search share: docs (k, text), prints (p, k, n, fp, bits, prefix)."""
 
-    def __init__(self, docs: DataFrame, prints: DataFrame, similarity: float, shingle: int):
-        self.docs, self.prints, self.similarity, self.shingle = docs, prints, similarity, shingle
+    def __init__(self, docs: DataFrame, prints: DataFrame, similarity: float, shingle: int, twins: bool):
+        """twins: several of docs may have one k."""
+        self.docs, self.prints, self.similarity, self.shingle, self.twins = docs, prints, similarity, shingle, twins
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """(src, dst): the pairs (a, b) whose sets have the similarity, by count."""
@@ -179,14 +187,17 @@ class _Search:
         with passing(pairs.sparkSession):
             wanted = written(pairs.distinct(), "pairs")
             side = lambda end, source, *what: source.select(F.col("p").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in what])
-            both = wanted.join(side("a", self.prints, "n", "bits"), "a").join(side("b", self.prints, "n", "bits"), "b")
+            # bitmaps are wide: only those that pairs name are dealt
+            met = written(_ends(wanted), "met")
+            prints = self.prints.select("p", "n", "bits").join(met, "p", "left_semi")
+            both = wanted.join(side("a", prints, "n", "bits"), "a").join(side("b", prints, "n", "bits"), "b")
             both = both.where(F.least("a_n", "b_n") >= s * F.greatest("a_n", "b_n") - _SLACK).withColumn("size", F.least(F.size("a_bits"), F.size("b_bits")))
             differing = F.aggregate(F.zip_with(_folded(F.col("a_bits"), F.col("size")), _folded(F.col("b_bits"), F.col("size")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
             near = written(both.where(differing * (1 + s) <= (1 - s) * (F.col("a_n") + F.col("b_n")) + _SLACK).select("a", "b"), "near-pairs")
             # only sets that are compared are made again
-            met = near.select(F.col("a").alias("p")).union(near.select("b")).distinct()
-            keys = written(met.join(self.prints.select("p", "k"), "p"), "compared")
-            sets = written(_hashed(self.docs.join(keys, "k").select("p", "text"), self.shingle).dropDuplicates(["p"]), "sets")
+            keys = written(self.prints.select("p", "k").join(_ends(near), "p", "left_semi"), "compared")
+            sets = _hashed(self.docs.join(keys, "k").select("p", "text"), self.shingle)
+            sets = written(sets.dropDuplicates(["p"]) if self.twins else sets, "sets")
             both = near.join(side("a", sets, "set"), "a").join(side("b", sets, "set"), "b")
             shared = F.size(F.array_intersect("a_set", "b_set")) * (1 + s) >= s * (F.size("a_set") + F.size("b_set")) - _SLACK
             return written(both.where(shared).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar", outlive=True)
@@ -227,25 +238,38 @@ def _led(rows: DataFrame, start: int) -> DataFrame:
     return written(each.select("token", "l.*"), "leaders")
 
 
+def _majors(rows: DataFrame) -> DataFrame:
+    """(token, major, n, pairs) of each bucket: its largest group, its rows, and its pairs of rows of different groups."""
+    sizes = rows.groupBy("token", "c").agg(F.count("*").alias("size"))
+    sums = F.max(F.struct("size", "c"))["c"].alias("major"), F.sum("size").alias("n"), F.sum(F.col("size") * F.col("size")).alias("own")
+    return written(sizes.groupBy("token").agg(*sums).select("token", "major", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")), "major-groups")
+
+
 def _edges(search: _Search) -> DataFrame:
     """(src, dst) of sets p: pairs of the similarity, such that all similar pairs are in one group."""
     with passing(search.docs.sparkSession):
         with passing(search.docs.sparkSession):
             rows = search.buckets()
-        rows, edges, other = rows.withColumn("c", F.col("p")), None, F.col("a_c") != F.col("b_c")
-        for k in range(LEADER_ROUNDS):
-            found = _paired(rows, _led(rows, k * LEADERS), search.similarity, other)
-            found = search.similar(found if edges is not None else found.union(search.by_fingerprint()))
-            edges = found if edges is None else edges.union(found)
+        rows, other = rows.withColumn("c", F.col("p")), F.col("a_c") != F.col("b_c")
+        edges = search.similar(_paired(rows, _led(rows, 0), search.similarity, other).union(search.by_fingerprint()))
+        rows = _mixed(rows, edges)
+        before, orders = None, LEADERS
+        while True:
+            majors = _majors(rows)
+            crowds = F.col("pairs") > CROWDED * F.col("n")
+            left, everything = majors.agg(F.sum(F.when(crowds, F.col("pairs")).otherwise(0)), F.sum("n")).first()
+            if (left or 0) <= (everything or 0) or (before is not None and 2 * left > before):
+                break
+            crowded = majors.where(crowds)
+            outside = rows.join(crowded.select("token", "major"), "token").where("c <> major").drop("major")
+            edges = edges.union(search.similar(_paired(rows, _led(outside, orders), search.similarity, other)))
             rows = _mixed(rows, edges)
+            before, orders = left, orders + LEADERS
         # every pair between different groups of a bucket has a side outside its largest group
-        sizes = rows.groupBy("token", "c").agg(F.count("*").alias("size"))
-        major = written(sizes.groupBy("token").agg(F.max(F.struct("size", "c"))["c"].alias("major")), "major-groups")
-        minor = written(rows.join(major, "token").where("c <> major").drop("major"), "minor-rows")
+        everyone = written(rows.join(majors.select("token", "major"), "token").withColumn("outside", F.col("c") != F.col("major")).drop("major"), "all-rows")
         # a pair of two outside it is met from both sides: once is enough
         once = (F.col("a_p") < F.col("b_p")) | ~F.col("b_outside")
-        everyone = written(rows.join(major, "token").withColumn("outside", F.col("c") != F.col("major")).drop("major"), "all-rows")
-        edges = edges.union(search.similar(_paired(minor, everyone, search.similarity, other, once)))
+        edges = edges.union(search.similar(_paired(everyone.where("outside").drop("outside"), everyone, search.similarity, other, once)))
         return written(edges, "all-links", outlive=True)
 
 
@@ -261,7 +285,9 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int, doc_id: str, text
             rows = written(marked.select("k", "id", "p"), "rows", outlive=True)
             first = written(marked.groupBy("p").agg(F.min("r").alias("r")).select("r"), "first-rows")
             prints = written(marked.join(first, "r", "left_semi").select("p", "k", "n", "fp", "bits", "prefix"), "set-prints", outlive=True)
-        edges = _edges(_Search(keyed.select("k", "text"), prints, similarity, shingle))
+        # equal sets share p, but of rows that are equal in every column each would be read as that set
+        twins = not rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        edges = _edges(_Search(keyed.select("k", "text"), prints, similarity, shingle, twins))
         with passing(spark):
             groups = written(connected_components(edges), "set-groups", outlive=True)
         return _outliving(rows, "rows"), _outliving(groups, "groups")
