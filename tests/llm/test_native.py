@@ -5,6 +5,7 @@ import os
 import random
 import re
 import string
+from collections import Counter
 
 import duckdb
 import pytest
@@ -276,6 +277,27 @@ LINKS = [
 ]
 
 
+def test_text_null_covers_whole_texts(spark):
+    """The text-like tokens of a text, one after another, are all its letters of their encoding: from its first one to its last whole token."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgHIJ0123456789-", k=rng.randint(1, 9))) for _ in range(rng.randint(300, 900))) + " é " + "q" * 70 + "== End" for _ in range(6)]
+    count = lambda rows: Counter((r["row"]["length"], r["encoding"], r["core"]) for r in rows)
+    nothing = count(secrets.text_like(spark.createDataFrame([("",)], "text string")).collect())
+    alphabets, seen = {name: letters for name, _, letters in secrets.ENCODINGS}, 0
+    for text in texts:
+        rows = secrets.text_like(spark.createDataFrame([(text,)], "text string")).collect()
+        own = count(rows) - nothing
+        if not own:
+            continue
+        [(length, encoding)] = {(n, e) for n, e, _ in own}
+        plain, letters = re.sub(r"[A-Za-z0-9+/_-]{20,}={0,2}", "", text), alphabets[encoding]
+        plain = plain.upper() if letters == letters.upper() else plain.lower() if letters == letters.lower() else plain
+        kept = "".join(c for c in plain if c in letters)
+        assert own == Counter((length, encoding, kept[i : i + length]) for i in range(0, len(kept) - length + 1, length))
+        seen += sum(own.values()) > 3
+    assert seen >= 4
+
+
 def test_bases_token_lists_and_references(spark):
     df = spark.createDataFrame([(f"http://h/a/b?{i}", html) for i, (html, _) in enumerate(LINKS)], "url string, html string")
     got = {int(r.src.split("?")[1]): r.dst for r in url_rules.link_edges(df).collect()}
