@@ -66,3 +66,15 @@ def test_empty_and_taken_names(odd_docs, no_docs):
 def test_decoding_null_ids(spark):
     df = spark.createDataFrame([(1, [104]), (2, None), (3, [])], "i int, ids array<int>")
     assert [r.decoded is not None for r in bpe.decode(df).collect()] == [True] * 3
+
+
+def test_one_word_pieces_are_encoded_once():
+    """Letters between spaces, with a mark behind them or not, are one word that the model sees once; ids are the library's."""
+    library, made = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY)), []
+    own = bpe.ForcedBoundaryBPE(bpe.vocabulary_text())
+    own._pack_word = lambda word, make=own._pack_word: made.append(word) or make(word)
+    text = "So harbour harbour, harbour. and harbour! were harbour; of harbour? said it"
+    assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert made.count(" harbour") == 1
+    for odd in ("x é. ñandu, ß! ª. c º, Ⅻ. d", "a 's. b 't, c 's b", "x ʰ. y ٣. z", "a 日本. 本 c", "a .. b ., c", "q word.\nnext w", "a ſ. İ. b", "tab\tb. c d, \n e. f", "a " + "é" * 300 + ". b", " b, ", "a <|endoftext|>. b"):
+        assert own.encode(odd) == library.encode(odd, add_special_tokens=False).ids, odd

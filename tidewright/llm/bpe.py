@@ -19,6 +19,8 @@ import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,9 @@ from .common import alone, col, slices, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words, and pieces between spaces, of one generation of a worker's memos, and the longest ones that they keep. Cost only.
-MEMO_WORDS, MEMO_PIECES, MEMO_LETTERS = 250_000, 150_000, 256
+MEMO_WORDS, MEMO_PIECES, MEMO_LETTERS = 100_000, 300_000, 256
 #: The same where an executor's memory is short, since other stages have used it.
-SMALL_MEMO = 50_000, 30_000
+SMALL_MEMO = 20_000, 60_000
 
 # The pattern of the public byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,6 +45,9 @@ _SPACES = r"\x09-\x0d\x20"
 _NOT_PLAIN = re.compile(rf"[^{_SPACES}\x21-\x7e{_LETTERS[6:]}]")
 _PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_SPACES}0-9{_LETTERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 _GENERAL = regex.compile(PATTERN)
+#: One of these after letters, before a space, is a word of its own.
+_ENDS = frozenset(".,;:!?")
+_ID = attrgetter("id")
 
 
 def byte_letters() -> list[str]:
@@ -71,6 +76,10 @@ class _Memo(dict):
         return ids
 
 
+def _letters_only(piece: str) -> bool:
+    return piece.isalpha() and (piece.isascii() or not _NOT_PLAIN.search(piece))
+
+
 class _Ragged(Exception):
     """A space beside other white space."""
 
@@ -78,7 +87,7 @@ class _Ragged(Exception):
 class ForcedBoundaryBPE:
     """Encoder and decoder of one vocabulary, given as the text of its tokenizers file."""
 
-    def __init__(self, spec: str, memo_words: int = MEMO_WORDS, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, spec: str, memo_words: int = MEMO_WORDS, memo_pieces: int | None = None):
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
@@ -102,8 +111,10 @@ class ForcedBoundaryBPE:
         #: Bytes of one packed id, as a number without sign, least byte first.
         self.width = 2 if len(self.token_bytes) <= 1 << 16 else 4
         self._letter = {2: "H", 4: "I"}[self.width]
+        self._tokenize, self._space = self.model.tokenize, self.shown[32]
+        self._packers = [struct.Struct(f"<{n}{self._letter}").pack for n in range(33)]
         self._special_packed = {t: self.pack([i]) for t, i in self.special.items()}
-        self.memo, self.pieces = _Memo(self._pack_word, memo_words), _Memo(self._pack_spaced, min(memo_words, memo_pieces))
+        self.memo, self.pieces = _Memo(self._pack_word, memo_words), _Memo(self._pack_spaced, memo_pieces or memo_words * MEMO_PIECES // MEMO_WORDS)
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self._letter}", *ids)
@@ -114,14 +125,20 @@ class ForcedBoundaryBPE:
     def fragments(self, raw: bytes) -> list[bytes]:
         """raw, cut between any two bytes that stand side by side in no token."""
         joined = self.joined
-        if joined.issuperset(zip(raw, raw[1:])):
+        if joined.issuperset(pairwise(raw)):
             return [raw]
-        cuts = [i for i, pair in enumerate(zip(raw, raw[1:]), 1) if pair not in joined]
+        cuts = [i for i, pair in enumerate(pairwise(raw), 1) if pair not in joined]
         return [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)])]
 
     def _pack_word(self, word: str) -> bytes:
-        letters, tokenize = self.shown, self.model.tokenize
-        return self.pack([t.id for part in self.fragments(word.encode()) for t in tokenize(part.decode("latin-1").translate(letters))])
+        # of printable ASCII only the space has another letter; most words have no cut inside
+        if word.isascii() and word.isprintable():
+            if self.joined.issuperset(pairwise(raw := word.encode())):
+                ids = list(map(_ID, self._tokenize(word.replace(" ", self._space))))
+                return self._packers[len(ids)](*ids) if len(ids) < len(self._packers) else self.pack(ids)
+        else:
+            raw = word.encode()
+        return self.pack([t.id for part in self.fragments(raw) for t in self._tokenize(part.decode("latin-1").translate(self.shown))])
 
     def _pack_words(self, text: str) -> bytes:
         words = (_GENERAL if _NOT_PLAIN.search(text) else _PLAIN).findall(text)
@@ -129,6 +146,11 @@ class ForcedBoundaryBPE:
 
     def _pack_spaced(self, piece: str) -> bytes:
         """The ids of a space and the piece, which stands between two spaces."""
+        # most pieces are one word, or one with a mark behind it: no search for words, and no second place in a memo
+        if _letters_only(piece):
+            return self._pack_word(f" {piece}")
+        if piece and piece[-1] in _ENDS and _letters_only(piece[:-1]):
+            return self.pieces[piece[:-1]] + self.memo[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Ragged
         return self._pack_words(f" {piece}")

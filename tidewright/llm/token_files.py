@@ -32,6 +32,8 @@ from .common import col, expire, action_settings, scratch_path, table
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
+#: Words and pieces of a worker's memos: more than usual, since no other stage shares the executor. Cost only.
+MEMO = 50_000, 500_000
 #: Rows of the result that a reading task makes at a time.
 DOCS_AT_ONCE = 4096
 #: One sample of the select structure for so many ones.
@@ -117,7 +119,7 @@ def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe = opened(sent.value)
+        bpe = opened(sent.value, *MEMO)
         width, end = bpe.width, bpe.pack([end_id])
         shard, block, start, held = TaskContext.get().partitionId(), 0, 0, 0
         names, parts = [], []
@@ -148,11 +150,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(len(batch))):
             bounds, known = EliasFano.from_bytes(row["bounds"]), EliasFano.from_bytes(row["doc_ids"])
-            ids, before = np.frombuffer(row["ids"], f"<u{row['width']}"), row["base"] + row["start_in_shard"]
+            ids, before = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4"), row["base"] + row["start_in_shard"]
             rows, start = [], bounds.select(0)
             for i in range(bounds.n - 1):
                 end, at = bounds.select(i + 1), i - row["n_null_ids"]
-                rows.append((None if at < 0 else known.select(at) + row["first_id"], before + start, end - start, zlib.crc32(ids[start:end].astype("<u4").tobytes())))
+                rows.append((None if at < 0 else known.select(at) + row["first_id"], before + start, end - start, zlib.crc32(ids[start:end])))
                 start = end
                 if len(rows) == DOCS_AT_ONCE or i == bounds.n - 2:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
