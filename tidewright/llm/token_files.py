@@ -33,7 +33,7 @@ from .common import col, expire, action_settings, scratch_path, table
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
 #: Words and pieces of a worker's memos: more than usual, since no other stage shares the executor. Cost only.
-MEMO = 50_000, 500_000
+MEMO = 40_000, 800_000
 #: Rows of the result that a reading task makes at a time.
 DOCS_AT_ONCE = 4096
 #: One sample of the select structure for so many ones.
