@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidewright.llm import similar, simhash
+from tidewright.llm import decontaminate, similar, simhash
 
 from .test_simhash import groups
 
@@ -171,3 +171,42 @@ def test_links_on_either_side_of_the_threshold(spark):
     want, near = exact_groups(rows)
     assert 40 < near < 110 and want[1001] == 1000 and want[1002] == 1002 and want[1006] == 1005
     assert found_groups(spark, rows) == want
+
+
+def dealt_bytes(spark):
+    """Bytes that the session has written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_stay_where_they_are(spark):
+    """Where keys are too many to be broadcast, only the texts of compared and of dropped documents are shuffled."""
+    rng = np.random.default_rng(10)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))
+    long = lambda: " ".join("".join(w) for w in rng.choice(letters, (150, 80)))
+    rows = [(i, long()) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(20)] + [(2000 + i, rows[i][1]) for i in range(10, 30)]
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    docs = similar.written(spark.createDataFrame(rows, "doc_id bigint, text string"), "texts")
+    spark.conf.set(threshold, "-1")
+    try:
+        start = dealt_bytes(spark)
+        kept = [r.doc_id for r in similar.one_of_each_group(docs).collect()]
+        dealt = dealt_bytes(spark) - start
+    finally:
+        spark.conf.set(threshold, before)
+    assert sorted(kept) == list(range(600))
+    assert 2 * dealt < sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("set_words", [1, 1 << 18])
+def test_full_bitmaps_lose_nothing(spark, monkeypatch, set_words):
+    """With a bitmap of one word nearly all rows pass it: the joins behind it decide."""
+    monkeypatch.setattr(decontaminate, "SET_WORDS", set_words)
+    rows = templates(150) + [(1000 + i, t) for i, t in templates(20)] + [r for r in templates(10) for _ in range(2)]
+    want, _ = exact_groups(rows)
+    assert found_groups(spark, rows) == want
+    kept = similar.one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))

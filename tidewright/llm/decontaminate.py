@@ -43,10 +43,10 @@ def windows(items: DataFrame, n: int = N, item_id: str = "item_id", text: str =
     return each.groupBy("x.window", "x.size", "x.h").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _bitmap(known: DataFrame, n_windows: int) -> tuple[Column, int]:
-    """The set of the windows' hashes, a constant array of 64-bit words, and the number of words (a power of two)."""
+def hash_bitmap(known: DataFrame, n: int) -> tuple[Column, int]:
+    """The set of n hashes h, a constant array of 64-bit words, and the number of words (a power of two)."""
     words = 1
-    while words < SET_WORDS and 64 * words < BITS_A_WINDOW * n_windows:
+    while words < SET_WORDS and 64 * words < BITS_A_WINDOW * n:
         words *= 2
     place, bit = F.col("h").bitwiseAND(F.lit(words - 1)), F.shiftrightunsigned("h", 58).cast("int")
     filled = {r["at"]: r["bits"] for r in known.groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")).collect()}
@@ -54,21 +54,23 @@ def _bitmap(known: DataFrame, n_windows: int) -> tuple[Column, int]:
     return F.expr(f"cast(split('{','.join(str(filled.get(i, 0)) for i in range(words))}', ',') as array<bigint>)"), words
 
 
+def in_bitmap(h: Column, bits: Column, words: int) -> Column:
+    """Whether the set of hash_bitmap may hold the hash."""
+    at, bit = h.bitwiseAND(F.lit(words - 1)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
+    return F.get(bits, at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)) != 0
+
+
 def scan(docs: DataFrame, known: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The `keep` columns of docs, n_words, and taken: windows (pos, size, window) whose hash is in the set. A table; texts are read once."""
     sizes = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    bits, words = _bitmap(known, sum(sizes.values()))
+    bits, words = hash_bitmap(known, sum(sizes.values()))
 
     def taken(size: int) -> Column:
         starts = F.expr(f"if(size(w) >= {size}, sequence(1, size(w) - {size} + 1), cast(array() as array<int>))")
 
-        def seen(x: Column) -> Column:
-            at, bit = x["h"].bitwiseAND(F.lit(words - 1)).cast("int"), F.shiftrightunsigned(x["h"], 58).cast("int")
-            return F.get(bits, at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)) != 0
-
         # the hash is kept beside its position, since a lambda would compute it anew for every use
         hashed = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("w", i, size)).alias("h")))
-        return F.transform(F.filter(hashed, seen), lambda x: F.struct(x["pos"].alias("pos"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", x["pos"], size)).alias("window")))
+        return F.transform(F.filter(hashed, lambda x: in_bitmap(x["h"], bits, words)), lambda x: F.struct(x["pos"].alias("pos"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", x["pos"], size)).alias("window")))
 
     empty = F.array().cast("array<struct<pos:int,size:int,window:string>>")
     worded = docs.select(*keep, words_of(F.col(text)).alias("w"))

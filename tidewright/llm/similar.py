@@ -18,6 +18,9 @@ Verification has two steps. A set's bitmap has 4 to 8 bits a shingle; bits in wh
 are at most as many as shingles in which the sets differ, which rules out nearly all unlike pairs without
 loss. The rest are compared on their sets of 64-bit hashes.
 
+Wide columns (texts, bitmaps) are not dealt to be met by a few keys: a bitmap of the keys' hashes, of bounded
+size, goes to every task, and only rows that pass it are shuffled to the join that decides.
+
 Defined results: null and empty texts have one shingle, that of nothing, and are equal; texts shorter
 than a shingle are one shingle; rows are taken one by one, so that several texts under one id (null or
 not) are several documents; an empty table gives an empty table.
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import alone, col, free_name, passing, row_key, slices, written
 from .components import connected_components
+from .decontaminate import hash_bitmap, in_bitmap
 from .simhash import _LOWER, _WORD, links, majority
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -169,6 +173,18 @@ def _folded(bits: Column, size: Column) -> Column:
     return F.when(F.size(bits) <= size, bits).otherwise(F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseOR(y)))
 
 
+def _sieve(keys: DataFrame, key: str) -> Column:
+    """True for every row whose key is in the table keys, and for few others as long as the bitmap has room."""
+    bits, words = hash_bitmap(keys.select(F.xxhash64(key).alias("h")), keys.count())
+    return in_bitmap(F.xxhash64(key), bits, words)
+
+
+def _without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in the table keys; those that surely are not stay where they are."""
+    passes = _sieve(keys, key)
+    return rows.where(~passes).union(rows.where(passes).join(keys, key, "left_anti").select(*map(col, rows.columns)))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """(p) of the sets in pairs (a, b)."""
     return pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct()
@@ -187,16 +203,15 @@ class _Search:
         with passing(pairs.sparkSession):
             wanted = written(pairs.distinct(), "pairs")
             side = lambda end, source, *what: source.select(F.col("p").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in what])
-            # bitmaps are wide: only those that pairs name are dealt
-            met = written(_ends(wanted), "met")
-            prints = self.prints.select("p", "n", "bits").join(met, "p", "left_semi")
+            # bitmaps are wide: hardly more than those that pairs name are dealt
+            prints = self.prints.select("p", "n", "bits").where(_sieve(written(_ends(wanted), "met"), "p"))
             both = wanted.join(side("a", prints, "n", "bits"), "a").join(side("b", prints, "n", "bits"), "b")
             both = both.where(F.least("a_n", "b_n") >= s * F.greatest("a_n", "b_n") - _SLACK).withColumn("size", F.least(F.size("a_bits"), F.size("b_bits")))
             differing = F.aggregate(F.zip_with(_folded(F.col("a_bits"), F.col("size")), _folded(F.col("b_bits"), F.col("size")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
             near = written(both.where(differing * (1 + s) <= (1 - s) * (F.col("a_n") + F.col("b_n")) + _SLACK).select("a", "b"), "near-pairs")
             # only sets that are compared are made again
             keys = written(self.prints.select("p", "k").join(_ends(near), "p", "left_semi"), "compared")
-            sets = _hashed(self.docs.join(keys, "k").select("p", "text"), self.shingle)
+            sets = _hashed(self.docs.where(_sieve(keys, "k")).join(keys, "k").select("p", "text"), self.shingle)
             sets = written(sets.dropDuplicates(["p"]) if self.twins else sets, "sets")
             both = near.join(side("a", sets, "set"), "a").join(side("b", sets, "set"), "b")
             shared = F.size(F.array_intersect("a_set", "b_set")) * (1 + s) >= s * (F.size("a_set") + F.size("b_set")) - _SLACK
@@ -283,8 +298,9 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int, doc_id: str, text
         with passing(spark):
             marked = written(_marked(keyed.withColumn("r", F.monotonically_increasing_id()), shingle, similarity), "marked")
             rows = written(marked.select("k", "id", "p"), "rows", outlive=True)
-            first = written(marked.groupBy("p").agg(F.min("r").alias("r")).select("r"), "first-rows")
-            prints = written(marked.join(first, "r", "left_semi").select("p", "k", "n", "fp", "bits", "prefix"), "set-prints", outlive=True)
+            repeated = written(marked.groupBy("p").agg(F.min("r").alias("first"), F.count("*").alias("many")).where("many > 1").select("p", "first"), "repeated-sets")
+            later = written(marked.select("p", "r").join(repeated, "p").where("r <> first").select("r"), "later-rows")
+            prints = written(_without(marked, later, "r").select("p", "k", "n", "fp", "bits", "prefix"), "set-prints", outlive=True)
         # equal sets share p, but of rows that are equal in every column each would be read as that set
         twins = not rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
         edges = _edges(_Search(keyed.select("k", "text"), prints, similarity, shingle, twins))
@@ -308,7 +324,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
 def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group, the one of the smallest id (nulls last; of equal ids that of the least digest); columns and texts as they are."""
     rows, groups = _grouped(docs, similarity, shingle, doc_id, text)
-    key, stays = free_name(docs, "k"), free_name(docs, "stays")
+    key, once = free_name(docs, "k"), free_name(docs, "once")
     with passing(docs.sparkSession):
         # of equal sets first, so that a group of copies is one row in what follows
         sets = written(rows.groupBy("p").agg(F.count("*").alias("many"), F.min(F.struct(F.col("id").isNull().alias("late"), "id", "k")).alias("least")), "set-rows")
@@ -316,11 +332,12 @@ def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         heads = written(named.groupBy("c").agg(F.min("least")["k"].alias("k")), "heads")
         members = rows.join(named.select("p"), "p", "left_semi").groupBy("k").agg(F.count("*").alias("twins"))
         decided = members.join(heads.select("k", F.lit(True).alias("head")), "k", "left")
-        decided = written(decided.select(F.col("k").alias(key), F.when(F.col("head").isNull(), 0).when(F.col("twins") == 1, 1).otherwise(2).alias(stays)), "decided", outlive=True)
+        lost = written(decided.where("head is null or twins > 1").select(F.col("k").alias(key), F.col("head").isNotNull().alias(once)), "lost", outlive=True)
         # rows that are equal in every column share a digest: one of them stays
-        twins = not decided.where(F.col(stays) == 2).isEmpty()
-    keyed = docs.withColumn(key, row_key(*map(col, docs.columns))).join(decided, key, "left")
-    kept = keyed.where(F.col(stays).isNull() | (F.col(stays) == 1)).select(*map(col, docs.columns))
-    if twins:
-        kept = kept.unionByName(keyed.where(F.col(stays) == 2).dropDuplicates([key]).select(*map(col, docs.columns)))
-    return kept
+        twins = written(lost.where(col(once)).select(key), "twins", outlive=True)
+        several = not twins.isEmpty()
+    keyed = docs.withColumn(key, row_key(*map(col, docs.columns)))
+    kept = _without(keyed, lost.select(key), key)
+    if several:
+        kept = kept.union(keyed.where(_sieve(twins, key)).join(twins, key, "left_semi").dropDuplicates([key]).select(*map(col, keyed.columns)))
+    return kept.select(*map(col, docs.columns))
